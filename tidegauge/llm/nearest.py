@@ -189,8 +189,9 @@ def placed(v: DataFrame, curves: int = CURVES, dims: int = DIMS, bits: int = BIT
 def window_neighbours(v: DataFrame, is_query, k: int = K, window: int = WINDOW, curves: int = CURVES) -> DataFrame:
     """Candidates from the curves' windows: query_id, vec_id. v as usable() gives it."""
     p = placed(v, curves).withColumn("block", F.floor(F.col("place") / window))
-    q = p.where(is_query).withColumn("block", F.explode(F.array(*[F.col("block") + i for i in (-1, 0, 1)]))).withColumn("reach", F.lit(window))
-    return q.groupBy("curve", "block").cogroup(p.groupBy("curve", "block")).applyInPandas(_window_block(k), "query_id long, vec_id long")
+    near = F.explode(F.array(*[F.col("block") + i for i in (-1, 0, 1)]))
+    q = p.where(is_query).select(F.col("curve").alias("q_curve"), near.alias("q_block"), F.col("place").alias("place"), F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), F.lit(window).alias("reach"))
+    return q.groupBy("q_curve", "q_block").cogroup(p.groupBy("curve", "block")).applyInPandas(_window_block(k), "query_id long, vec_id long")
 
 
 def search(vectors: DataFrame, every: int = 100, k: int = K, window: int = WINDOW, curves: int = CURVES, exact: bool = True) -> DataFrame:
@@ -218,7 +219,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = K, window: int = WINDO
 
 ORACLE = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
-u AS (SELECT * FROM v WHERE len(list_filter(e, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
-d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), i -> (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), (a, b) -> a + b, 0.0::DOUBLE)) AS score
+u AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda a, b: a + b, 0.0::DOUBLE)) AS score
       FROM u q JOIN u c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10"""

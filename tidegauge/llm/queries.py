@@ -84,7 +84,7 @@ m AS (SELECT h, min(doc_id) AS low FROM s GROUP BY h),
 c AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS k FROM s JOIN m USING (h) WHERE low < doc_id),
 g AS (SELECT r, list(k) AS gone FROM c GROUP BY r)
 SELECT doc_id, n::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, n + 1), k -> NOT list_contains(gone, k)), k -> w[k]) END, ' ')) AS kept_sha256
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, n + 1), lambda k: NOT list_contains(gone, k)), lambda k: w[k]) END, ' ')) AS kept_sha256
 FROM n LEFT JOIN g USING (r)"""
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * i + 1}, 5))::INTEGER >> {s}) & 31) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))

@@ -118,7 +118,7 @@ def _write(folder: str, level: int):
             end_frame()
             out = None
             if bundle:
-                with fs.open_output_stream(f"{base}/{name}") as f:
+                with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
                     for x in bundle:
                         f.write(x)
                     f.write(seek_table(sizes))
