@@ -32,7 +32,7 @@ def targets(totals: DataFrame, share: float, cycle: tuple, limit: float) -> Data
     """totals: source, source_size, one row for each source. Adds target: share of all sizes, divided by the cycle's weights over
     sources in code-point order, each at most limit times its size; what is above is dealt out again by weight.
 
-    The last level L at which sum(min(limit * size, weight * L)) is the whole budget is found on running sums over size / weight.
+    The level L at which sum(min(limit * size, weight * L)) is the whole budget is found on running sums over size / weight.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(x)) for x in cycle]), ((F.row_number().over(order) - 1) % len(cycle) + 1).cast("int"))
@@ -43,7 +43,9 @@ def targets(totals: DataFrame, share: float, cycle: tuple, limit: float) -> Data
     rest = Window.orderBy("_r", F.col("source").asc_nulls_last()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     # were the sources before this one full, and the others level: the level they would have
     t = t.withColumn("_level", (F.col("_all") - (F.sum("_cap").over(full) - F.col("_cap"))) / F.sum("_w").over(rest))
-    t = t.withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_r"), F.col("_level"))).over(everything))
+    # the first source that wouldn't overflow at its level settles it
+    t = t.withColumn("_nth", F.row_number().over(Window.orderBy("_r", F.col("source").asc_nulls_last())))
+    t = t.withColumn("_level", F.min_by("_level", F.when(F.col("_level") <= F.col("_r"), F.col("_nth"))).over(everything))
     return t.withColumn("target", F.when(F.col("_level").isNull() | (F.col("_w") * F.col("_level") > F.col("_cap")), F.col("_cap")).otherwise(F.col("_w") * F.col("_level"))).select("source", "source_size", "target")
 
 
