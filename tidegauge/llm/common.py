@@ -178,6 +178,16 @@ def window_hash(h: np.ndarray, at: np.ndarray, width: int, which: int = 1) -> np
     return mix(out)
 
 
+def text_hashes(w: Words, texts: np.ndarray) -> np.ndarray:
+    """Two hashes of the whole word sequence of each of these texts."""
+    out = np.zeros((2, len(texts)), np.uint64)
+    for j, d in enumerate(texts):
+        h = w.hash[w.first[d] : w.first[d + 1]]
+        for k in (0, 1):
+            out[k, j] = window_hash(h, np.zeros(1, np.int64), len(h), k + 1)[0]
+    return out
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

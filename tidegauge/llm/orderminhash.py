@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, prepare, rows, signed, table, text_key, window_hash
+from .common import Words, mix, prepare, rows, signed, table, text_hashes, text_key, window_hash
 from .graph import components
 
 SHINGLE = 5
@@ -41,7 +41,7 @@ def kmers(w: Words, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     h = window_hash(w.hash, at, width)
     few = np.flatnonzero((w.count > 0) & (w.count < width))
     if len(few):
-        whole = np.array([window_hash(w.hash, w.first[d : d + 1], int(w.count[d]))[0] for d in few], np.uint64)
+        whole = text_hashes(w, few)[0]
         place = np.searchsorted(doc, few)
         h, doc = np.insert(h, place, whole), np.insert(doc, place, few)
     return h, np.searchsorted(doc, np.arange(w.n + 1))
@@ -108,9 +108,8 @@ def _sketches(bands: int, minima: int, width: int):
                 h, first = kmers(w, width)
                 keys = sketch(h, first, bands, minima)
                 full = np.zeros((2, w.n), np.uint64)
-                for d in np.flatnonzero(w.count):
-                    for k in (0, 1):
-                        full[k, d] = window_hash(w.hash, w.first[d : d + 1], int(w.count[d]), k + 1)[0]
+                some = np.flatnonzero(w.count)
+                full[:, some] = text_hashes(w, some)
                 flat = pa.array(signed(keys.ravel()), pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(w.n + 1) * bands, pa.int32()), flat)
                 yield rows(_SKETCH, doc_id=part.column("doc_id"), text_key=part.column("text_key"), n_words=w.count, f1=signed(full[0]), f2=signed(full[1]), n_kmers=np.diff(first), keys=lists)

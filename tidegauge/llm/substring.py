@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, prepare, rows, signed, table, text_key, window_hash
+from .common import Words, mix, prepare, rows, signed, table, text_hashes, text_key, window_hash
 
 WIDTH = 50
 PERIOD = 31
@@ -53,8 +53,7 @@ def _anchors(width: int):
             take = residue[place % PERIOD] & known[doc] & (w.count[doc] >= width)
             at, doc, place = at[take], doc[take], place[take]
             big = np.flatnonzero(known & (w.count >= width))
-            whole = [np.array([window_hash(w.hash, w.first[d : d + 1], int(w.count[d]), k)[0] for d in big], np.uint64) for k in (1, 2)]
-            salt = [mix(x + np.uint64(k)) for k, x in enumerate(whole)]
+            salt = [mix(x + np.uint64(k)) for k, x in enumerate(text_hashes(w, big))]
             yield rows(
                 _ANCHOR,
                 h=np.concatenate([signed(window_hash(w.hash, at, short)), *map(signed, salt)]),
