@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import zlib
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, prepare, rows
+from .common import SPACE, Words, prepare, rows
 
 WINDOW = 2048
 END = 1
@@ -44,12 +45,20 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: White space beyond ASCII, in UTF-8; the tokenizer joins it with its neighbours.
+_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
 class Encoder:
-    """Ids of whole texts, as the tokenizers file gives them; special tokens' strings are ordinary text. Where the same vocabulary
-    lies beside it as ranks, tiktoken applies it, which gives the same ids several times faster."""
+    """Ids of whole texts, as the tokenizers file gives them; special tokens' strings are ordinary text.
+
+    Where the same vocabulary lies beside it as ranks, tiktoken applies it, which gives the same ids several times faster. Its pattern never
+    joins what stands before white space with what follows, so of a batch only the distinct pieces (white space and the word after it)
+    are encoded, in one text; the bytes of the ids tell where each piece ends. Texts with wider white space are encoded whole."""
 
     def __init__(self, path: str):
         ranks = path.removesuffix(".json") + ".tiktoken"
+        self.size = None
         if path.endswith(".json") and os.path.exists(ranks):
             import public_tokenizers
             import tiktoken
@@ -57,6 +66,9 @@ class Encoder:
             with open(ranks, "rb") as f:
                 own = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.one = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own, special_tokens={}).encode_ordinary
+            self.size = np.zeros(max(own.values()) + 1, np.int64)
+            for token, i in own.items():
+                self.size[i] = len(token)
         else:
             from tokenizers import Tokenizer
 
@@ -64,12 +76,53 @@ class Encoder:
             t.encode_special_tokens = True
             self.one = lambda text: t.encode(text, add_special_tokens=False).ids
 
+    def _alone(self, text: str | None) -> np.ndarray:
+        return np.array([*(self.one(text) if text else []), END], np.uint32)
+
     def __call__(self, column: pa.Array) -> list[np.ndarray]:
-        out = []
-        for t in column.to_pylist():
-            ids = self.one(t) if t else []
-            ids.append(END)
-            out.append(np.array(ids, np.uint32))
+        if self.size is None:
+            return [self._alone(t) for t in column.to_pylist()]
+        w = Words(column, hashed=False)
+        if not len(w.starts):
+            return [self._alone(t) for t in column.to_pylist()]
+        raw = w.data
+        # pieces: from the end of the word before (or the text's start) to the word's end, and what is left at the text's end
+        some = w.count > 0
+        begin = np.r_[0, w.ends[:-1]]
+        begin[w.first[:-1][some]] = w.off[:-1][some]
+        rest = np.where(some, w.ends[np.maximum(w.first[1:] - 1, 0)], w.off[:-1])
+        tail = np.flatnonzero(rest < w.off[1:])
+        doc = np.concatenate([w.doc, tail])
+        begin, end = np.concatenate([begin, rest[tail]]), np.concatenate([w.ends, w.off[1:][tail]])
+        order = np.argsort(begin, kind="stable")
+        doc, begin, end = doc[order], begin[order], end[order]
+        w.starts, w.ends = begin, end
+        _, first, code = np.unique(w._hash() ^ (end - begin).astype(np.uint64), return_index=True, return_inverse=True)
+        begin, size = begin[first], (end - begin)[first]
+        # pieces without white space before them (at a text's start) or without a word are encoded by themselves
+        bare = ~SPACE[raw[begin]] | np.isin(order[first], np.arange(len(order) - len(tail), len(order)))
+        together = np.flatnonzero(~bare)
+        stop = np.cumsum(size[together])
+        text = raw[np.repeat(begin[together] - (stop - size[together]), size[together]) + np.arange(stop[-1] if len(stop) else 0)]
+        ids = np.array(self.one(text.tobytes().decode()), np.uint32)
+        cut = np.searchsorted(np.cumsum(self.size[ids]), stop, "left") + 1
+        own = [np.array(self.one(raw[begin[k] : begin[k] + size[k]].tobytes().decode()), np.uint32) for k in np.flatnonzero(bare)]
+        length, start = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        length[together] = np.diff(cut, prepend=0)
+        length[bare] = [len(x) for x in own]
+        start[together] = cut - length[together]
+        start[bare] = len(ids) + np.cumsum(length[bare]) - length[bare]
+        ids = np.concatenate([ids, *own]) if own else ids
+        n = length[code]
+        per_doc = np.bincount(doc, weights=n, minlength=w.n).astype(np.int64)
+        at = np.repeat(start[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        flat = ids[at]
+        stop = np.cumsum(per_doc)
+        out = [np.append(flat[b - k : b], np.uint32(END)) for b, k in zip(stop, per_doc, strict=True)]
+        if _WIDE.search(raw):
+            for d in range(w.n):
+                if _WIDE.search(raw[w.off[d] : w.off[d + 1]]):
+                    out[d] = self._alone(column[d].as_py())
         return out
 
 
@@ -77,10 +130,10 @@ def _encode(path: str):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = Encoder(path)
+        small = encode.size is not None and len(encode.size) <= 1 << 16
         for b in batches:
-            for i in range(0, len(b), 100):
-                part = b.slice(i, 100)
-                yield rows([("shard", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("ids", pa.binary())], shard=part.column("shard"), doc_id=part.column("doc_id"), text_key=part.column("text_key"), ids=[x.astype(np.uint16 if not len(x) or x.max() < 65536 else np.uint32).tobytes() + bytes([0 if not len(x) or x.max() < 65536 else 1]) for x in encode(part.column("text"))])
+            blobs = [(x.astype(np.uint16).tobytes() + b"\0") if small else (x.tobytes() + b"\1") for x in encode(b.column("text"))]
+            yield rows([("shard", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("ids", pa.binary())], shard=b.column("shard"), doc_id=b.column("doc_id"), text_key=b.column("text_key"), ids=blobs)
 
     return run
 
