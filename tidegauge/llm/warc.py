@@ -151,7 +151,8 @@ def classify(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages (page_id, url, html) with sha1 (hex), revisit and refers_to."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha1"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("_n"))
     last = p.groupBy("sha1", "_n").agg(F.max("page_id").alias("_last"))
-    j = p.join(last, ["sha1", "_n"])
+    # by shuffle at every size: the groups are as many as the pages, and large pages would make a poor broadcast
+    j = p.join(last.hint("merge"), ["sha1", "_n"])
     revisit = (F.col("_n") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("_last"))
     return j.select("page_id", "url", "html", "sha1", revisit.alias("revisit"), F.when(revisit, F.col("_last")).alias("refers_to"))
 
