@@ -62,7 +62,7 @@ def ic_by_date(obs: DataFrame, x: str, y: str = "fwd_21", least: int = 6, distin
 
 
 def ic_summary(ics: DataFrame, *keys: str) -> DataFrame:
-    g = ics.where("ic is not null").groupBy(*keys).agg(F.avg("ic").alias("mean_ic"), F.count("*").alias("dates"), F.stddev_samp("ic").alias("_s"), (F.avg(flag(F.col("ic") > 0)) * 100).alias("positive"))
+    g = ics.where("ic is not null").groupBy(*keys).agg(F.avg("ic").alias("mean_ic"), F.count("*").alias("dates"), F.stddev_samp("ic").alias("_s"), (F.avg(flag(F.round("ic", 9) > 0)) * 100).alias("positive"))
     return g.withColumn("t_stat", F.col("mean_ic") / F.nullif(F.col("_s") / F.sqrt("dates"), F.lit(0.0))).drop("_s")
 
 

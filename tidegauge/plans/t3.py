@@ -105,7 +105,7 @@ def flow_panel(s, d):
 _AR = "rank() OVER (PARTITION BY day ORDER BY {x}) + (count(*) OVER (PARTITION BY day, {x}) - 1) / 2.0"
 
 
-@register("flow_ic", with_sql(*PANEL, ("p0", "SELECT *, lead(vwap) OVER (PARTITION BY ticker ORDER BY day) / vwap - 1 AS fwd FROM pn"), ("p1", f"SELECT *, {_AR.format(x='prior_off_share')} AS rx, {_AR.format(x='fwd')} AS ry FROM p0 WHERE prior_n >= 5 AND fwd IS NOT NULL AND prior_off_share IS NOT NULL"), ("p2", "SELECT day, corr(rx, ry) AS ic FROM p1 GROUP BY day HAVING count(*) >= 5")) + f" SELECT {rd('avg(ic)', 'mean_ic')}, count(ic) AS days, {rd('avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END)', 'share_positive')} FROM p2")
+@register("flow_ic", with_sql(*PANEL, ("p0", "SELECT *, lead(vwap) OVER (PARTITION BY ticker ORDER BY day) / vwap - 1 AS fwd FROM pn"), ("p1", f"SELECT *, {_AR.format(x='prior_off_share')} AS rx, {_AR.format(x='fwd')} AS ry FROM p0 WHERE prior_n >= 5 AND fwd IS NOT NULL AND prior_off_share IS NOT NULL"), ("p2", "SELECT day, corr(rx, ry) AS ic FROM p1 GROUP BY day HAVING count(*) >= 5")) + f" SELECT {rd('avg(ic)', 'mean_ic')}, count(ic) AS days, {rd('avg(CASE WHEN round(ic, 9) > 0 THEN 1.0 ELSE 0 END)', 'share_positive')} FROM p2")
 def flow_ic(s, d):
     """Rank correlation of prior off-exchange share with the next day's return of the average price."""
     from pyspark.sql import Window
@@ -114,7 +114,7 @@ def flow_ic(s, d):
     f = FL.flow_panel(f.withColumn("fwd", F.lead("vwap").over(Window.partitionBy("ticker").orderBy("day")) / F.col("vwap") - 1)).where("fwd is not null and prior_off_share is not null")
     f = f.withColumns({"rx": average_rank("prior_off_share", "day"), "ry": average_rank("fwd", "day")})
     g = f.groupBy("day").agg(F.corr("rx", "ry").alias("ic"), F.count("*").alias("n")).where("n >= 5")
-    return g.agg(tidy(F.avg("ic")).alias("mean_ic"), F.count("ic").alias("days"), tidy(F.avg(F.when(F.col("ic") > 0, 1.0).otherwise(0.0))).alias("share_positive"))
+    return g.agg(tidy(F.avg("ic")).alias("mean_ic"), F.count("ic").alias("days"), tidy(F.avg(F.when(F.round("ic", 9) > 0, 1.0).otherwise(0.0))).alias("share_positive"))
 
 
 @register("legacy_off_share", with_sql("trades", ("o0", "SELECT ticker, day, sum(CASE WHEN exchange = 4 THEN size ELSE 0 END) / sum(size) AS share FROM trades WHERE size > 0 GROUP BY ALL"), ("o1", "SELECT *, max(day) OVER (PARTITION BY ticker) AS last FROM o0")) + f" SELECT ticker, {rd('max(share) FILTER (day = last) - avg(share) FILTER (day < last)', 'off_change')} FROM o1 GROUP BY ticker")

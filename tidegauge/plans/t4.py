@@ -102,7 +102,7 @@ def ic_by_date(s, d):
     return _show(P.ic_by_date(obs(s, d), "csri"), "ic", "n", keep=("date",))
 
 
-_ICS = "round(avg(ic), 6) + 0.0 AS mean_ic, count(*) AS dates, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END) * 100, 6) + 0.0 AS positive, round(avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0), 6) + 0.0 AS t_stat"
+_ICS = "round(avg(ic), 6) + 0.0 AS mean_ic, count(*) AS dates, round(avg(CASE WHEN round(ic, 9) > 0 THEN 1.0 ELSE 0 END) * 100, 6) + 0.0 AS positive, round(avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0), 6) + 0.0 AS t_stat"
 
 
 @register("momentum_vs_csri", with_sql(*OBS, *_ic("csri"), *_ic("mom_12_1")) + f" SELECT 'csri' AS model, {_ICS} FROM ic_csri WHERE ic IS NOT NULL UNION ALL SELECT 'mom_12_1', {_ICS} FROM ic_mom_12_1 WHERE ic IS NOT NULL")
