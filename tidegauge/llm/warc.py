@@ -27,6 +27,8 @@ from .common import new_path, prepare, rows
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 16 << 20
+#: Bundles up to this count are told from orphans by a broadcast of their names.
+BROADCAST_BUNDLES = 200_000
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _INDEX = [("record_id", pa.string()), ("bundle", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())]
 _RECORD = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]
@@ -189,6 +191,8 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
     """The records of the bundles that the index in folder lists: page_id, url, record_type, refers_to, payload_bytes,
     payload_digest, payload (empty for revisits; null unless asked for)."""
     index = spark.read.schema(_DDL_INDEX).parquet(f"{folder}/index").select("bundle").distinct()
+    if index.count() <= BROADCAST_BUNDLES:  # their names alone; beyond, the bundles are shuffled
+        index = F.broadcast(index)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content")
     if files.isEmpty():
         return spark.createDataFrame([], _DDL_RECORD)
