@@ -7,8 +7,10 @@ candidates; the similarity of a pair is s / (n + m - s), where s is the longest
 found within the band that a similarity of THRESHOLD allows. At 0.8 a pair misses all 16 keys about once in 10**5 times.
 
 Equal word sequences are collapsed first (128-bit hashes) and only one document of each takes part. In a bucket, all are held
-against the smallest; then those outside its largest class are held against all that are not yet of their class, so that
-no link between classes is lost, and a bucket of true copies costs as many alignments as it has members.
+against its PIVOTS most central members (those in the largest buckets), which settles nearly all of a group of copies with a few
+alignments each. Then those outside the bucket's largest class are held against all of the bucket, so that no link between classes is lost:
+not pair by pair, but in blocks, where one matrix product bounds every pair's similarity by its common k-mers and only pairs
+that can reach the threshold are aligned.
 
 Null and empty texts: a class of their own each, as are rows without an id. A text of fewer words than SHINGLE has one k-mer.
 Rows that share an id are told apart by their text, and equal rows are one document.
@@ -30,6 +32,9 @@ BANDS = 16
 MINIMA = 3
 #: Of the labelled k-mers of a text, about this many are looked at for each hash function's minima.
 POOL = 32
+PIVOTS = 3
+#: Documents of one block, of those that are left and of the bucket they are held against.
+LEFT_BLOCK, ALL_BLOCK = 32, 64
 
 _SKETCH = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n_kmers", pa.int64()), ("keys", pa.list_(pa.int64()))]
 _DDL = "doc_id long, text_key long, n_words long, f1 long, f2 long, n_kmers long, keys array<long>"
@@ -231,43 +236,96 @@ def _verify(threshold: float):
     return run
 
 
+def _may_link(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs have enough common k-mers (occurrences counted) to reach the threshold; exact, by one product of incidence matrices."""
+    docs = left + right
+    size = np.array([len(x) for x in docs])
+    doc = np.repeat(np.arange(len(docs)), size)
+    flat = np.concatenate(docs).astype(np.uint64) if size.sum() else np.zeros(0, np.uint64)
+    # the n-th occurrence of a k-mer in a text is an element of its own
+    key = flat << np.uint64(24) | doc.astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    s = key[order]
+    again = np.r_[False, s[1:] == s[:-1]] if len(s) else np.zeros(0, bool)
+    i = np.arange(len(s))
+    nth = i - np.maximum.accumulate(np.where(again, 0, i)) if len(s) else i
+    _, element = np.unique((s >> np.uint64(24)) << np.uint64(24) | np.minimum(nth, (1 << 24) - 1).astype(np.uint64), return_inverse=True)
+    # elements of one text alone can't be common
+    common = np.zeros((len(left), len(right)), np.float32)
+    of = doc[order]
+    many = np.bincount(element) > 1
+    code = np.cumsum(many) - 1
+    keep = many[element]
+    element, of = code[element[keep]], of[keep]
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+        m = (element >= lo) & (element < lo + 4096)
+        x = np.zeros((len(docs), 4096), np.float32)
+        x[of[m], element[m] - lo] = 1
+        common += x[: len(left)] @ x[len(left) :].T
+    return common >= threshold * (size[: len(left), None] + size[None, len(left) :] - common) - 1e-3
+
+
+def _verify_blocks(threshold: float):
+    def run(batches):
+        for b in batches:
+            found = []
+            for few, all_ in zip(b.column("few").to_pylist(), b.column("every").to_pylist(), strict=True):
+                left, right = ([np.frombuffer(r["kmers"], np.uint32) for r in x] for x in (few, all_))
+                for i, j in zip(*np.nonzero(_may_link(left, right, threshold)), strict=True):
+                    if few[i]["part"] != all_[j]["part"] and similarity(left[i], right[j], threshold) >= threshold:
+                        found.append((min(few[i]["doc_id"], all_[j]["doc_id"]), max(few[i]["doc_id"], all_[j]["doc_id"])))
+            yield rows([("a", pa.int64()), ("b", pa.int64())], a=[x for x, _ in found], b=[y for _, y in found])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, minima: int = MINIMA, width: int = SHINGLE) -> DataFrame:
-    """One row for each row of docs: doc_id, text_key, class_id (the smallest doc_id of its class), kept_key (that document's text_key),
-    n_words, class_size (rows)."""
-    prepare(docs.sparkSession)
+    """One row for each row of docs: doc_id, text_key, class_id (the smallest doc_id of its class), n_words, class_size (rows)."""
+    spark = docs.sparkSession
+    prepare(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
     every = table(base.mapInArrow(_sketches(bands, minima, width), _DDL), "sketches")
     with_words = every.where("n_words > 0 and doc_id is not null")
     same = with_words.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    # of one id with several texts, one node stands for all: links are between ids
+    # rows of one id with several texts are one node: links are between ids
     nodes = with_words.join(same, ["f1", "f2"])
     reps = nodes.where("rep = doc_id").select("doc_id", "text_key", "n_kmers", "keys").dropDuplicates(["doc_id", "text_key"])
     members = reps.select("doc_id", "text_key", "n_kmers", F.explode("keys").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.min(F.struct("doc_id", "n_kmers", "text_key")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = table(members.join(crowded, "bucket").select("bucket", "doc_id", "text_key", "n_kmers", "first"), "members")
+    crowded = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = members.join(crowded, "bucket")
+    degree = members.groupBy("doc_id").agg(F.sum("size").alias("degree"))
+    members = table(members.join(degree, "doc_id"), "members")
+    # the most central members of each bucket, one after another, by aggregates that combine before the shuffle
+    central = F.struct(-F.col("degree"), "doc_id", "n_kmers")
     close = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
-    pairs = members.where(F.col("first.doc_id") < F.col("doc_id")).where(close(F.col("first.n_kmers"), F.col("n_kmers"))).select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    tops = None
+    for _ in range(PIVOTS):
+        rest = members if tops is None else members.join(tops.select("bucket", F.col("p.doc_id").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
+        new = rest.groupBy("bucket").agg(F.min(central).alias("p"))
+        tops = table(new if tops is None else tops.union(new), "pivots")
+    p = F.col("p.doc_id")
+    pairs = members.join(tops, "bucket").where((p != F.col("doc_id")) & close(F.col("p.n_kmers"), F.col("n_kmers"))).select(F.least(p, "doc_id").alias("a"), F.greatest(p, "doc_id").alias("b")).distinct()
     needed = members.select("doc_id", "text_key").distinct()
     sequences = table(base.join(needed, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text").mapInArrow(_sequences(width), "doc_id long, kmers binary"), "sequences")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a = sequences.select(F.col("doc_id").alias("a"), F.col("kmers").alias("ka"))
-        b = sequences.select(F.col("doc_id").alias("b"), F.col("kmers").alias("kb"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "ka", "kb").mapInArrow(_verify(threshold), "a long, b long, similarity double")
-
-    links = table(verified(pairs), "pairs").select("a", "b")
-    # documents of one id with different texts are one node; equal texts of different ids are one class already
+    a = sequences.select(F.col("doc_id").alias("a"), F.col("kmers").alias("ka"))
+    b = sequences.select(F.col("doc_id").alias("b"), F.col("kmers").alias("kb"))
+    links = table(pairs.join(a, "a").join(b, "b").select("a", "b", "ka", "kb").mapInArrow(_verify(threshold), "a long, b long, similarity double"), "pairs").select("a", "b")
     tied = nodes.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     parts = components(links.union(tied))
-    where = members.select("bucket", "doc_id", "n_kmers").distinct().join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
-    mixed = where.groupBy("bucket").agg(F.countDistinct("part").alias("n")).where("n > 1").select("bucket")
-    where = table(where.join(mixed, "bucket", "left_semi"), "mixed")
-    # all but a bucket's largest class are held against the bucket's other classes
-    largest = where.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("m")).select("bucket", F.col("m.part").alias("large"))
-    few = where.join(largest, "bucket").where("part <> large").select("bucket", F.col("doc_id").alias("x"), F.col("part").alias("px"), F.col("n_kmers").alias("nx"))
-    more = few.join(where, "bucket").where("part <> px").where(close(F.col("nx"), F.col("n_kmers"))).select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-    more = more.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    late = table(verified(more), "pairs").select("a", "b")
+    where = members.select("bucket", "doc_id", "size").distinct().join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "size", F.coalesce("component", "doc_id").alias("part"))
+    counts = where.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("m"), F.count("*").alias("k"), F.sum("n").alias("all")).where("k > 1")
+    where = table(where.join(counts.select("bucket", F.col("m.part").alias("large"), F.col("m.n").alias("n"), "all"), "bucket"), "mixed")
+    there = where.join(sequences, "doc_id")
+    block = lambda size: F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(size)).cast("long"))
+    packed = lambda df, n, name: df.groupBy("bucket", n.alias("block")).agg(F.collect_list(F.struct("doc_id", "part", "kmers")).alias(name)).drop("block")
+    few = packed(there.where("part <> large"), block((F.col("all") - F.col("n")) / LEFT_BLOCK), "few")
+    blocks = few.join(packed(there, block(F.col("all") / ALL_BLOCK), "every"), "bucket").select("few", "every")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        late = table(blocks.mapInArrow(_verify_blocks(threshold), "a long, b long").distinct(), "pairs")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     if not late.isEmpty():
         parts = components(links.union(tied).union(late))
     final = every.join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "text_key", "n_words", F.coalesce("component", "doc_id").alias("class_id"))
