@@ -182,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS):
         yield rows([("model", pa.binary())], model=[pickle.dumps(train([t for t, _ in got], np.array([y for _, y in got], np.int64)))])
 
     sample = training_rows(docs, labels, max_docs).select("doc_id", "text", "toxic").repartition(1)
-    return pickle.loads(sample.mapInArrow(run, "model binary").first()["model"])
+    made = sample.mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else None
 
 
 def score(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
