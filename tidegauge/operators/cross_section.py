@@ -30,12 +30,15 @@ def peer_z(x: str, ddof: int = 0) -> Column:
 
 def rrg_normalise(frame: DataFrame, columns: dict[str, str], limit: float = 4.0, least_peers: int = 3, own: int = 252, own_least: int = 63) -> DataFrame:
     """100 plus the clipped z-score among peers; with too few peers, against the instrument's own last readings. columns: output by input."""
-    for x, out in columns.items():
-        w = last_rows(own)
-        alone = F.when(F.count(x).over(w) >= own_least, (F.col(x) - F.avg(x).over(w)) / F.nullif(F.stddev_pop(x).over(w), F.lit(0.0)))
-        frame = frame.withColumns({"_n": F.count(x).over(peers()), "_peer": peer_z(x), "_own": alone})
-        frame = frame.withColumn(out, 100 + clip(F.when(F.col("_n") >= least_peers, F.col("_peer")).otherwise(F.col("_own")), -limit, limit)).drop("_n", "_peer", "_own")
-    return frame
+    w, first, second = last_rows(own), {}, {}
+    for i, x in enumerate(columns):
+        first[f"_own{i}"] = F.when(F.count(x).over(w) >= own_least, (F.col(x) - F.avg(x).over(w)) / F.nullif(F.stddev_pop(x).over(w), F.lit(0.0)))
+        second |= {f"_n{i}": F.count(x).over(peers()), f"_peer{i}": peer_z(x)}
+    # by ticker while the bars still are, then all peers at once: one shuffle
+    frame = frame.withColumns(first).withColumns(second)
+    frame = frame.withColumns({f"_v{i}": F.when(F.col(f"_n{i}") >= least_peers, F.col(f"_peer{i}")).otherwise(F.col(f"_own{i}")) for i in range(len(columns))})
+    frame = frame.withColumns({out: 100 + clip(F.col(f"_v{i}"), -limit, limit) for i, out in enumerate(columns.values())})
+    return frame.drop(*[f"{p}{i}" for i in range(len(columns)) for p in ("_own", "_n", "_peer", "_v")])
 
 
 def quadrant(ratio: str = "rs_ratio", mom: str = "rs_mom") -> Column:
@@ -73,7 +76,7 @@ def vms_history(frame: DataFrame, a: str = "mom_12_1", b: str = "rs_mom", least:
 
 def footprint(frame: DataFrame) -> DataFrame:
     """inst: what the bars say about institutions, -1 to 1, from absorption, accumulation balance and block intensity."""
-    f = I.z_last(frame, "absorption", "absorption_z")
+    f = I.z_last(frame, {"absorption": "absorption_z"}, spread=True)
     w = FOOTPRINT_WEIGHTS
     return f.withColumn("inst", blend([(w[0], F.tanh(F.col("absorption_z") / 1.5)), (w[1], clip(2.5 * F.col("ad_balance"), -1, 1)), (w[2], F.tanh(F.col("block_intensity_z") / 2))]))
 
@@ -92,13 +95,15 @@ def _carried(c: str) -> Column:
 def csri(frame: DataFrame) -> DataFrame:
     """The composite score of z-scored components (the footprint counts twice its score), its change against 21 readings back, and its history.
     In the two latter, absorption stands for the footprint. A component that is missing on a session counts with its last reading."""
-    f = frame
+    # the footprint has absorption's z-score already
+    f = I.z_last(frame, {"mansfield_rs": "_z_mansfield", "rs_mom": "_z_rs_mom", "breadth": "_z_breadth", "cmf": "_z_cmf"}, spread=True)
+    f = f.withColumnsRenamed({"absorption_z": "_z_absorption", "sd_absorption_z": "sd__z_absorption", "n_absorption_z": "n__z_absorption"})
+    cols = {}
     for c, x in (("mansfield", "mansfield_rs"), ("rs_mom", "rs_mom"), ("breadth", "breadth"), ("cmf", "cmf"), ("absorption", "absorption")):
-        f = I.z_last(f, x, f"_z_{c}")
         there = Window.partitionBy("ticker", F.col(x).isNotNull()).orderBy("session")
-        sd = F.stddev_pop(x).over(there.rowsBetween(-251, 0))
-        f = f.withColumns({f"_n_{c}": F.row_number().over(there), f"_b_{c}": F.lag(f"_z_{c}", 21).over(there), f"_h_{c}": F.when(sd > 0, F.col(f"_z_{c}"))})
-        f = f.withColumn(f"_b_{c}", F.when(F.col(x).isNotNull() & (F.col(f"_n_{c}") > 60), F.col(f"_b_{c}")))
+        before = F.when(F.col(x).isNotNull() & (F.col(f"n__z_{c}") > 60), F.lag(f"_z_{c}", 21).over(there))
+        cols |= {f"_b_{c}": before, f"_h_{c}": F.when(F.col(f"sd__z_{c}") > 0, F.col(f"_z_{c}"))}
+    f = f.withColumns(cols)
     names = ("mansfield", "rs_mom", "breadth", "cmf", "absorption")
     f = f.withColumns({**{f"z_{c}": _carried(f"_z_{c}") for c in names}, **{f"_b_{c}": _carried(f"_b_{c}") for c in names}})
     f = f.withColumn("z_inst", 2 * _carried("inst"))
@@ -107,7 +112,7 @@ def csri(frame: DataFrame) -> DataFrame:
     proxy = {c: ("absorption" if c == "inst" else c) for c in w}
     f = f.withColumn("csri_delta", F.col("csri") - blend([(w[c], F.col(f"_b_{proxy[c]}")) for c in w]))
     f = f.withColumn("csri_hist", blend([(w[c], F.col(f"_h_{proxy[c]}")) for c in w]))
-    return f.drop(*[f"_{p}_{c}" for p in "znbh" for c in names])
+    return f.drop(*[f"{p}_{c}" for p in ("_z", "_b", "_h", "n__z", "sd__z") for c in names])
 
 
 def strictly_below(x: str, within: WindowSpec | None = None) -> Column:

@@ -284,13 +284,17 @@ def mansfield_cross_up(frame: DataFrame) -> DataFrame:
     return f.withColumn("cross_up", (position() >= 23) & (F.col("mansfield_rs") > 0) & F.coalesce(lag("mansfield_rs", 21) <= 0, F.lit(False)))
 
 
-def z_last(frame: DataFrame, value: str, out: str, n: int = 252, least: int = 40) -> DataFrame:
-    """z-score of each reading against the last n readings with it, clipped to 3; 0 where they don't vary. Rows without a reading have none."""
-    x = F.col(value)
-    w = Window.partitionBy("ticker", F.col(value).isNotNull()).orderBy("session").rowsBetween(-(n - 1), 0)
-    sd = F.stddev_pop(x).over(w)
-    score = F.when(sd > 0, clip((x - F.avg(x).over(w)) / sd, -3, 3)).otherwise(0.0)
-    return frame.withColumn(out, F.when(x.isNotNull() & (F.count(x).over(w) >= least), score))
+def z_last(frame: DataFrame, values: dict[str, str], n: int = 252, least: int = 40, spread: bool = False) -> DataFrame:
+    """z-scores of each reading against the last n readings with it, clipped to 3; 0 where they don't vary. Rows without a reading have none.
+    values: output by input. With spread, sd_<output> is the deviation itself. Each sliding aggregate is taken once and then reused."""
+    for x, out in values.items():
+        there = Window.partitionBy("ticker", F.col(x).isNotNull()).orderBy("session")
+        w = there.rowsBetween(-(n - 1), 0)
+        frame = frame.withColumns({f"n_{out}": F.row_number().over(there), "_m": F.avg(x).over(w), f"sd_{out}": F.stddev_pop(x).over(w)})
+        frame = frame.withColumn("_z", (F.col(x) - F.col("_m")) / F.nullif(F.col(f"sd_{out}"), F.lit(0.0)))
+        score = F.when(F.col(f"sd_{out}") > 0, clip(F.col("_z"), -3, 3)).otherwise(0.0)
+        frame = frame.withColumn(out, F.when(F.col(x).isNotNull() & (F.col(f"n_{out}") >= least), score)).drop("_m", "_z")
+    return frame if spread else frame.drop(*[f"{p}_{out}" for out in values.values() for p in ("n", "sd")])
 
 
 __all__ = [n for n in dir() if n[0] != "_"] + ["roll"]

@@ -151,7 +151,10 @@ def portfolio(obs: DataFrame, x: str = "csri", y: str = "fwd_21", cost_bps: floa
 def performance(rets: DataFrame, x: str = "net", per_year: float = 252 / 21) -> DataFrame:
     """Mean, deviation, annualised Sharpe ratio and deepest drawdown of compounded returns (in 100) by date."""
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # one row a date
-    r = rets.withColumn("_e", F.exp(F.sum(F.log1p(F.col(x) / 100)).over(w)))
+    # a running product by logarithms; a loss of over 100 turns its sign, as a product would
+    step = 1 + F.col(x) / 100
+    odd = F.sum(F.when(step < 0, 1).otherwise(0)).over(w) % 2
+    r = rets.withColumn("_e", F.exp(F.sum(F.ln(F.nullif(F.abs(step), F.lit(0.0)))).over(w)) * (1 - 2 * odd))
     r = r.withColumn("_d", F.col("_e") / F.greatest(F.lit(1.0), F.max("_e").over(w)) - 1)
     g = r.agg(F.count(x).alias("periods"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), (F.min("_d") * 100).alias("max_drawdown"), F.avg("turnover").alias("turnover"))
     return g.withColumn("sharpe", F.col("mean") / F.nullif("sd", F.lit(0.0)) * per_year**0.5)

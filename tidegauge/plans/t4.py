@@ -167,7 +167,7 @@ def portfolio(s, d):
     return _show(P.portfolio(obs(s, d)), "gross", "turnover", "net", keep=("date",))
 
 
-@register("performance", with_sql(*BOOK, ("pe", "SELECT *, exp(sum(ln(1 + net / 100)) OVER (ORDER BY date)) AS e FROM pf"), ("pd", "SELECT *, e / greatest(1, max(e) OVER (ORDER BY date)) - 1 AS dd FROM pe")) + f" SELECT count(net) AS periods, {rd('avg(net)', 'mean')}, {rd('stddev_samp(net)', 'sd')}, {rd('min(dd) * 100', 'max_drawdown')}, {rd('avg(turnover)', 'turnover')}, {rd('avg(net) / nullif(stddev_samp(net), 0) * sqrt(252.0 / 21)', 'sharpe')} FROM pd")
+@register("performance", with_sql(*BOOK, ("pe", "SELECT *, exp(sum(ln(nullif(abs(1 + net / 100), 0))) OVER (ORDER BY date)) * (1 - 2 * (sum(CASE WHEN 1 + net / 100 < 0 THEN 1 ELSE 0 END) OVER (ORDER BY date) % 2)) AS e FROM pf"), ("pd", "SELECT *, e / greatest(1, max(e) OVER (ORDER BY date)) - 1 AS dd FROM pe")) + f" SELECT count(net) AS periods, {rd('avg(net)', 'mean')}, {rd('stddev_samp(net)', 'sd')}, {rd('min(dd) * 100', 'max_drawdown')}, {rd('avg(turnover)', 'turnover')}, {rd('avg(net) / nullif(stddev_samp(net), 0) * sqrt(252.0 / 21)', 'sharpe')} FROM pd")
 def performance(s, d):
     return _show(P.performance(P.portfolio(obs(s, d))), "periods", "mean", "sd", "max_drawdown", "turnover", "sharpe")
 
