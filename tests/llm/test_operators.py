@@ -443,6 +443,28 @@ def test_neighbours_are_lexical():
     assert sorted(sorted(d for d, _, _ in s) for s in first) == [[0, 2], [1, 3]]
 
 
+def test_close_documents_share_a_shard(spark):
+    r = random.Random(8)
+    vocabularies = [[f"{chr(97 + k)}{prose(r, 1)}{i}" for i in range(40)] for k in range(4)]
+    texts = [" ".join(r.choice(vocabularies[i % 4]) for _ in range(60)) for i in range(240)]
+    got = P.pack_documents(docs(spark, texts), window=512, shard_tokens=4000).collect()
+    shards = collections.defaultdict(collections.Counter)
+    for x in got:
+        shards[x["sequence_id"] >> 32][x["doc_id"] % 4] += 1
+    assert len(shards) > 4 and {x["doc_id"] for x in got} == set(range(240))
+    assert np.mean([max(c.values()) / sum(c.values()) for c in shards.values()]) > 0.75
+    again = P.pack_documents(docs(spark, texts).repartition(3), window=512, shard_tokens=4000).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_frequencies_are_of_all_documents(spark):
+    pieces = [np.array([1, 2, 3]), np.array([2, 3]), np.array([3, 4])]
+    blobs = [(x.astype(np.uint16).tobytes() + b"\0",) for x in pieces]
+    got = P._corpus(spark.createDataFrame(blobs, "ids binary").repartition(3), 2048)
+    want = P.Corpus.of(pieces)
+    assert (got.n, got.mean, got.terms.tolist()) == (3, 7 / 3, [1, 2, 3, 4]) and np.allclose(got.idf, want.idf)
+
+
 # --- 10 nearest neighbours
 
 

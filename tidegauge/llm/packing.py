@@ -1,10 +1,14 @@
-"""Packing by lexical retrieval: documents are tokenised, dealt to shards, and each shard packs with its own BM25 index.
+"""Packing by lexical retrieval: documents are tokenised, close ones are routed to one shard, and each shard packs with a BM25 index.
+
+Document frequencies and lengths are counted over all documents. A tree of two-means splits, grown on a bounded sample of
+weighted term vectors, gives every document a leaf, and neighbouring leaves are neighbours in words; shards are equal stretches of
+tokens along the leaves. Only inside a leaf that is larger than a shard does the hash decide. A neighbour that the tree puts into
+another shard is not seen.
 
 A shard takes its longest unpacked piece as the seed of a sequence, asks the index for the unused pieces that share
 the seed's rarest tokens, best score first, and fills the window greedily with those that fit; where none fits, the
 best unused one is cut. Each document ends with END; every id lies in exactly one piece. Shards hold about
-SHARD_TOKENS each, whatever the input, so a task's memory is bounded; documents go to shards by hash, so
-copies and sources of any size spread evenly.
+SHARD_TOKENS each, whatever the input, so a task's memory is bounded; a leaf of copies of any size is spread by hash.
 
 Null text: empty, which leaves just END. Null ids and repeated rows are packed as they come. A text longer than the
 window fills sequences of its own; the rest of it is packed with others. An empty table gives no rows.
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import os
+import pickle
 import re
 import zlib
 
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, prepare, rows
+from .common import SPACE, Words, mix, prepare, rows, table
 
 WINDOW = 2048
 END = 1
@@ -34,6 +39,11 @@ QUERY = 16
 #: Neighbours that are sorted at first.
 NEAREST = 64
 K1, B = 1.2, 0.75
+#: The tree that routes: coordinates that terms are hashed to, documents that grow it, the fewest of these in a leaf, and its depth.
+DIMENSIONS = 512
+SAMPLE = 16_384
+LEAF = 8
+DEPTH = 12
 
 PIECES = [
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
@@ -126,6 +136,9 @@ class Encoder:
         return out
 
 
+_IDS = [("spread", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("ids", pa.binary())]
+
+
 def _encode(path: str):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -133,7 +146,7 @@ def _encode(path: str):
         small = encode.size is not None and len(encode.size) <= 1 << 16
         for b in batches:
             blobs = [(x.astype(np.uint16).tobytes() + b"\0") if small else (x.tobytes() + b"\1") for x in encode(b.column("text"))]
-            yield rows([("shard", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("ids", pa.binary())], shard=b.column("shard"), doc_id=b.column("doc_id"), text_key=b.column("text_key"), ids=blobs)
+            yield rows(_IDS, spread=b.column("spread"), doc_id=b.column("doc_id"), text_key=b.column("text_key"), ids=blobs)
 
     return run
 
@@ -142,23 +155,91 @@ def _ids(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob[:-1], np.uint32 if blob[-1] else np.uint16).astype(np.uint32)
 
 
-def pack(lengths: np.ndarray, terms: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (document, start, length). terms: the ids of each document's last piece, which alone is packed with others."""
+class Corpus:
+    """What BM25 weighs with, over all documents: how many there are, the mean length of their last pieces, and df by term."""
+
+    def __init__(self, n: int, mean: float, terms: np.ndarray, df: np.ndarray):
+        self.n, self.mean, self.terms = n, max(1.0, mean), terms
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+
+    @classmethod
+    def of(cls, pieces: list[np.ndarray]) -> Corpus:
+        terms, df = np.unique(np.concatenate([np.unique(p) for p in pieces]), return_counts=True)
+        return cls(len(pieces), float(np.mean([len(p) for p in pieces])), terms, df)
+
+    def postings(self, pieces: list[np.ndarray]):
+        """Term, piece and weight, by term and then by piece."""
+        size = np.array([len(p) for p in pieces]) / self.mean
+        doc = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+        pair, tf = np.unique(np.concatenate(pieces).astype(np.int64) * len(pieces) + doc, return_counts=True)
+        term, doc = pair // len(pieces), pair % len(pieces)
+        return term, doc, self.idf[np.searchsorted(self.terms, term)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc]))
+
+    def vectors(self, pieces: list[np.ndarray]) -> np.ndarray:
+        """By piece, its weights at hashed coordinates and with hashed signs, of length 1; 0 for an empty piece."""
+        term, doc, weight = self.postings(pieces)
+        h = mix(term.astype(np.uint64) + np.uint64(1))
+        at = doc * DIMENSIONS + (h % np.uint64(DIMENSIONS)).astype(np.int64)
+        x = np.bincount(at, weights=np.where(h >> np.uint64(63), weight, -weight), minlength=len(pieces) * DIMENSIONS).reshape(-1, DIMENSIONS)
+        return (x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)).astype(np.float32)
+
+
+class Tree:
+    """Two-means splits of vectors; leaves are numbered so that what was parted late is near."""
+
+    def __init__(self, x: np.ndarray):
+        self.normal, self.cut, self.child = [], [], []
+        self.leaves = 0
+        self._grow(x, 0)
+        self.normal, self.cut, self.child = np.array(self.normal, np.float32).reshape(-1, DIMENSIONS), np.array(self.cut, np.float32), np.array(self.child, np.int64).reshape(-1, 2)
+
+    def _grow(self, x: np.ndarray, depth: int) -> int:
+        """The number of the node, or -1 - that of a leaf."""
+        right = np.zeros(len(x), bool)
+        if len(x) >= 2 * LEAF and depth < DEPTH:
+            far = x[np.argmin(x @ x.mean(0))]
+            normal = far - x[np.argmin(x @ far)]
+            cut = np.float32(np.median(x @ normal))
+            for _ in range(8):
+                right = (x * normal).sum(1) > cut
+                if not 0 < right.sum() < len(x):
+                    break
+                a, b = (m / max(1e-12, float(np.linalg.norm(m))) for m in (x[~right].mean(0), x[right].mean(0)))
+                normal = b - a
+                # between the means, but a side keeps a tenth at least
+                cut = np.float32(np.clip(0.0, *np.quantile(x @ normal, (0.1, 0.9))))
+            right = (x * normal).sum(1) > cut
+        if not 0 < right.sum() < len(x):
+            self.leaves += 1
+            return -self.leaves
+        at = len(self.cut)
+        self.normal.append(normal)
+        self.cut.append(cut)
+        self.child.append([0, 0])
+        self.child[at] = [self._grow(x[~right], depth + 1), self._grow(x[right], depth + 1)]
+        return at
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        node = np.full(len(x), 0 if len(self.cut) else -1)
+        while (inner := np.flatnonzero(node >= 0)).size:
+            n = node[inner]
+            node[inner] = self.child[n, ((x[inner] * self.normal[n]).sum(1) > self.cut[n]).astype(np.int64)]
+        return -1 - node
+
+
+def pack(lengths: np.ndarray, terms: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[list[tuple[int, int, int]]]:
+    """Sequences of (document, start, length). terms: the ids of each document's last piece, which alone is packed with others.
+    corpus: what BM25 weighs with, where these are not all documents."""
     out = [[(d, s, window)] for d, n in enumerate(lengths) for s in range(0, int(n) - window + 1, window)]
     rest = (lengths % window).astype(np.int64)
     n = len(rest)
     if not n:
         return out
     # the inverted index: postings of each term, with the BM25 weight of the term in the piece
-    doc = np.repeat(np.arange(n), [len(t) for t in terms])
-    flat = np.concatenate(terms).astype(np.int64) if n else np.zeros(0, np.int64)
-    pair, tf = np.unique(flat * n + doc, return_counts=True)
-    term, doc = pair // n, pair % n
+    term, doc, score = (corpus or Corpus.of(terms)).postings(terms)
+    score = score.astype(np.float32)
     vocabulary, first, df = np.unique(term, return_index=True, return_counts=True)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    size = rest / max(1.0, rest.mean())
     which = np.repeat(np.arange(len(vocabulary)), df)
-    score = (idf[which] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc]))).astype(np.float32)
     by_doc = np.lexsort((df[which], doc))  # the rarest terms of each document first
     begin = np.searchsorted(doc[by_doc], np.arange(n + 1))
     left = rest.copy()
@@ -205,7 +286,86 @@ def pack(lengths: np.ndarray, terms: list[np.ndarray], window: int = WINDOW) ->
         out.append(sequence)
 
 
-def _pack(window: int):
+def _pieces(column: pa.Array, window: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Lengths of documents, and their last pieces."""
+    docs = [_ids(x) for x in column.to_pylist()]
+    return np.array([len(x) for x in docs], np.int64), [x[len(x) - len(x) % window :] for x in docs]
+
+
+def _corpus(ids: DataFrame, window: int) -> Corpus:
+    """Counted on the executors; a row a term comes to the driver. Term -1 counts documents, and -2 tokens of last pieces."""
+
+    def run(batches):
+        count = np.zeros(2, np.int64)
+        for b in batches:
+            _, pieces = _pieces(b.column("ids"), window)
+            if not pieces:
+                continue
+            top = max((int(p.max(initial=0)) for p in pieces)) + 3
+            if top > len(count):
+                count = np.append(count, np.zeros(top - len(count), np.int64))
+            terms, df = np.unique(np.concatenate([np.unique(p) for p in pieces]).astype(np.int64), return_counts=True)
+            count[terms + 2] += df
+            count[1] += len(pieces)
+            count[0] += sum(map(len, pieces))
+        at = np.flatnonzero(count)
+        yield rows([("term", pa.int64()), ("n", pa.int64())], term=at - 2, n=count[at])
+
+    got = ids.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas().sort_values("term")
+    by = dict(zip(got["term"], got["n"], strict=True))
+    got = got[got["term"] >= 0]
+    return Corpus(int(by.get(-1, 0)), by.get(-2, 0) / max(1, by.get(-1, 0)), got["term"].to_numpy(), got["n"].to_numpy())
+
+
+def _tree(ids: DataFrame, shared, window: int) -> Tree:
+    """Grown by one executor from about SAMPLE documents, by hash; only the tree comes to the driver."""
+
+    def vectors(batches):
+        for b in batches:
+            x = shared.value.vectors(_pieces(b.column("ids"), window)[1]) if len(b) else []
+            yield rows([("spread", pa.int64()), ("doc_id", pa.int64()), ("x", pa.binary())], spread=b.column("spread"), doc_id=b.column("doc_id"), x=[v.tobytes() for v in x])
+
+    def grow(batches):
+        got = sorted((s, v) for b in batches for s, v in zip(b.column("spread").to_pylist(), b.column("x").to_pylist(), strict=True))
+        yield rows([("tree", pa.binary())], tree=[pickle.dumps(Tree(np.stack([np.frombuffer(v, np.float32) for _, v in got]) if got else np.zeros((0, DIMENSIONS), np.float32)))])
+
+    share = min(1.0, SAMPLE / max(1, shared.value.n))
+    some = ids.where(F.pmod(F.xxhash64(F.lit(9), "spread"), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    some = some.mapInArrow(vectors, "spread long, doc_id long, x binary").repartition(1)
+    return pickle.loads(some.mapInArrow(grow, "tree binary").first()["tree"])
+
+
+def _routed(ids: DataFrame, shared, shards: int, window: int) -> DataFrame:
+    """ids with their shard: equal stretches of tokens along the leaves, in a leaf by hash."""
+    tree = ids.sparkSession.sparkContext.broadcast(_tree(ids, shared, window))
+
+    def sizes(batches):
+        count = np.zeros(tree.value.leaves, np.int64)
+        for b in batches:
+            if len(b):
+                n, pieces = _pieces(b.column("ids"), window)
+                count += np.bincount(tree.value(shared.value.vectors(pieces)), weights=n, minlength=len(count)).astype(np.int64)
+        at = np.flatnonzero(count)
+        yield rows([("leaf", pa.int64()), ("n", pa.int64())], leaf=at, n=count[at])
+
+    size = np.zeros(tree.value.leaves)
+    for r in ids.select("ids").mapInArrow(sizes, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+        size[r["leaf"]] = r["n"]
+    begin, most = np.cumsum(size) - size, max(1.0, size.sum())
+
+    def route(batches):
+        for b in batches:
+            shard = []
+            if len(b):
+                leaf = tree.value(shared.value.vectors(_pieces(b.column("ids"), window)[1]))
+                inside = (b.column("spread").to_numpy() & ((1 << 32) - 1)) / (1 << 32)
+                shard = np.minimum((begin[leaf] + inside * size[leaf]) * shards / most, shards - 1).astype(np.int64)
+            yield rows([("shard", pa.int64()), *_IDS[1:]], shard=shard, **{n: b.column(n) for n, _ in _IDS[1:]})
+
+    return ids.mapInArrow(route, "shard long, doc_id long, text_key long, ids binary")
+
+
+def _pack(window: int, corpus=None):
     def run(pdf):
         import pandas as pd
 
@@ -215,7 +375,7 @@ def _pack(window: int):
         shard = int(pdf["shard"].iloc[0])
         found = {n: [] for n, _ in PIECES}
         key = pdf["doc_id"].tolist()
-        for q, sequence in enumerate(pack(lengths, [x[len(x) - len(x) % window :] for x in docs], window)):
+        for q, sequence in enumerate(pack(lengths, [x[len(x) - len(x) % window :] for x in docs], window, corpus and corpus.value)):
             offset = 0
             for d, start, length in sequence:
                 ids = docs[d][start : start + length].astype("<u4").tobytes()
@@ -235,6 +395,13 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(1, -(-size // (shard_tokens * TOKEN_BYTES)))
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    d = docs.select((F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), key), F.lit(shards))).alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), "text")
-    ids = d.mapInArrow(_encode(tokenizer or default_tokenizer()), "shard long, doc_id long, text_key long, ids binary")
-    return ids.groupBy("shard").applyInPandas(_pack(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    d = docs.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), key).alias("spread"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), "text")
+    ids = d.mapInArrow(_encode(tokenizer or default_tokenizer()), "spread long, doc_id long, text_key long, ids binary")
+    corpus = None
+    if shards == 1:
+        ids = ids.withColumn("shard", F.lit(0).cast("long")).drop("spread")
+    else:
+        ids = table(ids, "packing-ids")
+        corpus = docs.sparkSession.sparkContext.broadcast(_corpus(ids, window))
+        ids = _routed(ids, corpus, shards, window)
+    return ids.groupBy("shard").applyInPandas(_pack(window, corpus), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
