@@ -443,6 +443,14 @@ def test_neighbours_are_lexical():
     assert sorted(sorted(d for d, _, _ in s) for s in first) == [[0, 2], [1, 3]]
 
 
+def test_a_seed_asks_for_all_its_tokens():
+    own, shared = np.arange(100, 140), np.arange(1, 11)
+    others = [np.arange(1000 + 20 * i, 1020 + 20 * i) for i in range(3)]
+    pieces = [np.concatenate([own, shared]), *others, np.concatenate([shared, np.arange(5000, 5010)]), others[0].copy()]
+    first = P.pack(np.array([len(x) for x in pieces]), pieces, 70)
+    assert {d for s in first if any(x[0] == 0 for x in s) for d, _, _ in s} == {0, 4}
+
+
 def test_close_documents_share_a_shard(spark):
     r = random.Random(8)
     vocabularies = [[f"{chr(97 + k)}{prose(r, 1)}{i}" for i in range(40)] for k in range(4)]

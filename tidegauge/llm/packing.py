@@ -5,8 +5,8 @@ weighted term vectors, gives every document a leaf, and neighbouring leaves are
 tokens along the leaves. Only inside a leaf that is larger than a shard does the hash decide. A neighbour that the tree puts into
 another shard is not seen.
 
-A shard takes its longest unpacked piece as the seed of a sequence, asks the index for the unused pieces that share
-the seed's rarest tokens, best score first, and fills the window greedily with those that fit; where none fits, the
+A shard takes its longest unpacked piece as the seed of a sequence, asks the index for the unused pieces by BM25
+over all distinct tokens of the seed, best score first, and fills the window greedily with those that fit; where none fits, the
 best unused one is cut. Each document ends with END; every id lies in exactly one piece. Shards hold about
 SHARD_TOKENS each, whatever the input, so a task's memory is bounded; a leaf of copies of any size is spread by hash.
 
@@ -34,8 +34,6 @@ END = 1
 SHARD_TOKENS = 2_000_000
 #: UTF-8 bytes for a token, at least, to size the shards; only their number depends on it.
 TOKEN_BYTES = 2
-#: Tokens of a seed that the index is asked for, the rarest; a BM25 query over all of them would mostly add common ones.
-QUERY = 16
 #: Neighbours that are sorted at first.
 NEAREST = 64
 K1, B = 1.2, 0.75
@@ -240,7 +238,7 @@ def pack(lengths: np.ndarray, terms: list[np.ndarray], window: int = WINDOW, cor
     score = score.astype(np.float32)
     vocabulary, first, df = np.unique(term, return_index=True, return_counts=True)
     which = np.repeat(np.arange(len(vocabulary)), df)
-    by_doc = np.lexsort((df[which], doc))  # the rarest terms of each document first
+    by_doc = np.argsort(doc, kind="stable")  # the terms of each document
     begin = np.searchsorted(doc[by_doc], np.arange(n + 1))
     left = rest.copy()
     start = lengths - rest
@@ -257,9 +255,10 @@ def pack(lengths: np.ndarray, terms: list[np.ndarray], window: int = WINDOW, cor
         left[seed] = 0
         if room:
             total[:] = 0
-            for k in which[by_doc[begin[seed] : begin[seed + 1]][:QUERY]]:
-                a = slice(first[k], first[k] + df[k])
-                total[doc[a]] += score[a]
+            for k in which[by_doc[begin[seed] : begin[seed + 1]]]:
+                if df[k] > 1:  # else the seed alone has it
+                    a = slice(first[k], first[k] + df[k])
+                    total[doc[a]] += score[a]
             unused = np.flatnonzero(left)
             ranked = unused
             if len(unused) > NEAREST:  # the best scores; where they leave room, all that is unused follows
