@@ -108,6 +108,13 @@ def test_held_out_rows_never_train(spark):
     assert got and all(zlib.crc32(str(i).encode()) % 3 != 1 for i in got)
 
 
+def test_whole_texts_train(spark):
+    ids = [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 != 1]
+    long = "plain words " * 3000 + "vile"
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in ids], "doc_id long, quality int, toxic int")
+    assert {r["text"] for r in T.training_rows(docs(spark, [long] * 30), labels).collect()} == {long}
+
+
 # --- 2 substring dedup
 
 

@@ -26,9 +26,7 @@ from .common import PUNCTUATION, Words, mix, prepare, rows
 
 #: Labelled documents of each class that train a model, at most; the choice is by hash. It bounds the model, which is
 #: sent to all executors: a few hundred bytes a document and word.
-MAX_DOCS = 2500
-#: Words of one document that count in training, at most, so that the bound on documents bounds the model.
-MAX_TRAIN_BYTES = 20_000
+MAX_DOCS = 4000
 THRESHOLD = 0.7
 #: The discount of what is kept, and how many standard deviations chance may account for.
 DISCOUNT = 0.75
@@ -163,13 +161,13 @@ def train(texts: list[str], toxic: np.ndarray) -> tuple[KneserNey, np.ndarray] |
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """text and toxic of the bounded sample: documents whose crc32(doc_id) mod 3 is not 1, at most max_docs of each class by hash."""
+    """Whole texts and toxic of the bounded sample: documents whose crc32(doc_id) mod 3 is not 1, at most max_docs of each class by hash."""
     l = labels.where("toxic in (0, 1) and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     l = l.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_m")).where("toxic = _m").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     order = F.xxhash64(F.lit(5), "doc_id")
     picked = [l.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(max_docs) for c in (0, 1)]
     picked = F.broadcast(picked[0].union(picked[1]))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.coalesce("text", F.lit("")), 1, MAX_TRAIN_BYTES).alias("text"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return d.join(picked, "doc_id")
 
 
