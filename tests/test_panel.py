@@ -116,6 +116,23 @@ def test_weights_and_evaluation(spark):
     assert v["spread_verdict"] == "POSITIVE" and v["verdict"] in ("KILL", "UNDERPOWERED", "MARGINAL", "FAIL", "PASS") and v["confidence"] in ("HIGH", "MEDIUM", "LOW")
 
 
+def test_resampling_queries_run_the_full_number(monkeypatch):
+    import inspect
+    from unittest.mock import MagicMock
+
+    from tidegauge.plans import t4
+
+    monkeypatch.setattr(t4, "obs", MagicMock())
+    monkeypatch.setattr(t4, "eps", MagicMock())
+    for query, name, by, full in ((t4.bootstrap_mean, "bootstrap_mean", "reps", 5000), (t4.spread_test, "spread_test", "reps", 4000), (t4.perm_null, "permutation_null", "reps", 1000), (t4.fit_weights, "fit_weights", "draws", 4000)):
+        signature, calls = inspect.signature(getattr(R, name)), []
+        monkeypatch.setattr(R, name, lambda *a, calls=calls, **k: calls.append((a, k)))
+        query(None, None)
+        bound = signature.bind(*calls[0][0], **calls[0][1])
+        bound.apply_defaults()
+        assert bound.arguments[by] == signature.parameters[by].default == full
+
+
 def test_power():
     p = R.power_analysis(64, 64, 1.0, 0.5)
     assert p["power"] == pytest.approx(0.807, abs=0.01) and p["needed"] == 63

@@ -32,14 +32,14 @@ def _block_means(g: DataFrame, block: int, reps: int, seed: int, v: str = "v", o
     return g.withColumn(out, F.aggregate(picked, F.lit(0.0), lambda s, x: s + x) / n)
 
 
-def bootstrap_mean(x: DataFrame, *keys: str, value: str = "x", order: tuple[str, ...] = ("date",), block: int = 8, reps: int = 1000, seed: int = SEED, least: int = 8) -> DataFrame:
+def bootstrap_mean(x: DataFrame, *keys: str, value: str = "x", order: tuple[str, ...] = ("date",), block: int = 8, reps: int = 5000, seed: int = SEED, least: int = 8) -> DataFrame:
     """By group: mean, 95 % interval, and the share of centred replicates at least as far from 0 as the mean (null under least values)."""
     g = _values(x, keys, value, order)
     r = _block_means(g, block, reps, seed).groupBy(*keys).agg(F.first("mean").alias("mean"), F.first("n").alias("n"), F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((F.abs(F.col("m") - F.col("mean")) >= F.abs("mean")).cast("double")).alias("p"))
     return r.select(*keys, "n", "mean", F.when(F.col("n") >= least, F.col("q")[0]).alias("low"), F.when(F.col("n") >= least, F.col("q")[1]).alias("high"), F.when(F.col("n") >= least, F.col("p")).alias("p"))
 
 
-def spread_test(eps: DataFrame, a: str, b: str, y: str = "fwd_21", block: int = 8, reps: int = 1000, seed: int = SEED) -> DataFrame:
+def spread_test(eps: DataFrame, a: str, b: str, y: str = "fwd_21", block: int = 8, reps: int = 4000, seed: int = SEED) -> DataFrame:
     """The difference of two phases' mean returns with its bootstrap interval, and the verdict."""
     legs = [_values(eps.where(F.col("phase") == p), (), y, ("start", "ticker")).select(F.col("v").alias(n), F.col("mean").alias(f"m{n}"), F.col("n").alias(f"n{n}")) for n, p in (("a", a), ("b", b))]
     g = legs[0].crossJoin(F.broadcast(legs[1]))  # one row each
@@ -51,7 +51,7 @@ def spread_test(eps: DataFrame, a: str, b: str, y: str = "fwd_21", block: int =
     return r.withColumn("verdict", F.when(~enough, "UNDERPOWERED").when(F.col("low") > 0, "POSITIVE").when(F.col("high") < 0, "INVERTED").when(flat, "NO_EDGE").otherwise("UNDERPOWERED"))
 
 
-def permutation_null(obs: DataFrame, a: str, b: str, y: str = "fwd_21", reps: int = 200, seed: int = SEED) -> DataFrame:
+def permutation_null(obs: DataFrame, a: str, b: str, y: str = "fwd_21", reps: int = 1000, seed: int = SEED) -> DataFrame:
     """The spread of phase a over b against phases shuffled within each date: spread, and the share of shuffles at least as large."""
     o = obs.where(F.col(y).isNotNull()).select("date", "ticker", "phase", F.col(y).alias("y"))
     o = o.withColumn("_i", F.row_number().over(Window.partitionBy("date").orderBy("ticker")))
@@ -63,7 +63,7 @@ def permutation_null(obs: DataFrame, a: str, b: str, y: str = "fwd_21", reps: in
     return s.agg(F.max(F.when(F.col("rep") == 0, F.col("s"))).alias("spread"), F.collect_list(F.when(F.col("rep") > 0, F.col("s"))).alias("_n")).select("spread", (F.size(F.filter("_n", lambda x: F.abs(x) >= F.abs("spread"))) / F.size("_n")).alias("p"))
 
 
-def fit_weights(obs: DataFrame, columns: tuple[str, ...], y: str = "fwd_21", draws: int = 200, seed: int = SEED) -> DataFrame:
+def fit_weights(obs: DataFrame, columns: tuple[str, ...], y: str = "fwd_21", draws: int = 4000, seed: int = SEED) -> DataFrame:
     """Random weight vectors (normalised exponentials, with the even one as draw 0): mean rank correlation in training and in the embargoed test, best first."""
     u = [((F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), F.lit(c)), F.lit(1 << 52)) + 0.5) / float(1 << 52)) for c in columns]
     w = obs.sparkSession.range(draws + 1).withColumnRenamed("id", "draw")

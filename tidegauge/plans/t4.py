@@ -252,22 +252,22 @@ def embargo_split(s, d):
 
 @register("bootstrap_mean")
 def bootstrap_mean(s, d):
-    return R.bootstrap_mean(obs(s, d).withColumn("x", F.col("fwd_21")), "phase", order=("date", "ticker"), reps=300)
+    return R.bootstrap_mean(obs(s, d).withColumn("x", F.col("fwd_21")), "phase", order=("date", "ticker"))
 
 
 @register("spread_test")
 def spread_test(s, d):
-    return R.spread_test(eps(s, d), BEST, WORST, reps=300)
+    return R.spread_test(eps(s, d), BEST, WORST)
 
 
 @register("perm_null")
 def perm_null(s, d):
-    return R.permutation_null(obs(s, d), BEST, WORST, reps=100)
+    return R.permutation_null(obs(s, d), BEST, WORST)
 
 
 @register("fit_weights")
 def fit_weights(s, d):
-    return R.fit_weights(obs(s, d), Z, draws=100)
+    return R.fit_weights(obs(s, d), Z)
 
 
 @register("power_analysis")
