@@ -141,3 +141,17 @@ def test_normalise_bars(spark):
     raw = spark.createDataFrame([("A", D, "1", "x", "1", "2", None, 1), ("A", D, "1", "2", "1", "3", "7", 2), ("B", D, "1", "1", "1", "nan", "1", 1), ("C", D, "1", "bad", "1", "4", None, 1)], "ticker string, session date, open string, high string, low string, close string, volume string, seq int")
     got = {r["ticker"]: r for r in Q.normalise_bars(raw).collect()}
     assert set(got) == {"A", "C"} and (got["A"]["close"], got["A"]["volume"]) == (3.0, 7.0) and (got["C"]["high"], got["C"]["volume"]) == (None, 0.0)
+
+
+def test_alerts_query_sees_crossings_and_flow(spark, monkeypatch):
+    from tidegauge.plans import t4
+
+    days = [D + timedelta(days=i) for i in range(40)]
+    rows = [("A", x, -1.0 if i < 30 else 1.0, None, None, None, None, None, None, "NEUTRAL", "Leading") for i, x in enumerate(days)]
+    bars = spark.createDataFrame(rows, "ticker string, session date, mansfield_rs double, volume_z double, block_intensity_z double, csri_delta double, absorption double, ret_21 double, sma_50 double, phase string, quadrant string")
+    trades = spark.createDataFrame([("A", x, 0.1 if i < 35 else 0.5, 0.1 if i < 35 else 0.5, 0.5, 3e7, 10.0) for i, x in enumerate(days)], "ticker string, day date, dark_share double, off_share double, block_direction double, largest_notional double, largest_print double")
+    monkeypatch.setattr(t4, "score_frame", lambda s, d: bars)
+    monkeypatch.setattr(t4, "daily", lambda s, d: trades, raising=False)
+    monkeypatch.setattr(t4.I, "stages", lambda f: f.withColumn("stage", F.lit(1)))
+    fired = {r["value"]: r["session"] for r in t4.alerts(spark, None).collect()}
+    assert fired == {"mansfield_cross": days[30], "dark_pool": days[35], "off_exchange": days[35], "block_direction": days[2], "large_print": days[2]}

@@ -50,6 +50,15 @@ def multi_session(daily: DataFrame, days: int = 20, least: int = 3) -> DataFrame
     return f.groupBy("ticker").agg(*out).where(F.col("sessions") >= least)
 
 
+def trailing(daily: DataFrame, days: int = 20, least: int = 3) -> DataFrame:
+    """What the flags look at, for each ticker and day over its last days sessions up to it; trends as in multi_session. Rows with least sessions."""
+    own = Window.partitionBy("ticker").orderBy("day")
+    w = own.rowsBetween(1 - days, 0)
+    trend = lambda c: F.avg(c).over(own.rowsBetween(-2, 0)) - F.avg(c).over(own.rowsBetween(1 - days, -3))
+    f = daily.select("ticker", "day", trend("dark_share").alias("dark_trend"), trend("off_share").alias("off_trend"), F.avg("block_direction").over(w).alias("block_direction"), F.max("largest_notional").over(w).alias("largest_print"), F.count("*").over(w).alias("_n"))
+    return f.where(F.col("_n") >= least).drop("_n")
+
+
 def flow_score() -> Column:
     """-1 to 1 from trends and direction; where dark volume is all off-exchange volume the two are one signal with both weights."""
     w = FLOW_WEIGHTS

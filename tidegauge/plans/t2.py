@@ -90,6 +90,12 @@ def frame(s: SparkSession, d: str) -> DataFrame:
     return X.score_frame(V.bars_all(s, d), V.bars_bench(s, d), b)
 
 
+def crossed(f: DataFrame) -> DataFrame:
+    """f with cross_up: relative strength above zero now, and not above it 21 rows back; 23 readings at least."""
+    n = F.count("mansfield_rs").over(I.ordered().rowsBetween(Window.unboundedPreceding, 0))
+    return f.withColumn("cross_up", F.coalesce((n >= 23) & (F.col("mansfield_rs") > 0) & (I.lag("mansfield_rs", 21) <= 0), F.lit(False)))
+
+
 def _show(df: DataFrame, *names: str, keep: tuple = ("ticker", "session")) -> DataFrame:
     kinds = dict(df.dtypes)
     return df.select(*keep, *[tidy(n).alias(n) if kinds[n] == "double" else F.col(n) for n in names])
@@ -157,9 +163,7 @@ def phase_strict(s, d):
 
 @register("flags", with_sql(*SCORES, ("f0", f"SELECT *, coalesce({ra('count', 'mansfield_rs', 100000, 0)} >= 23 AND mansfield_rs > 0 AND {lg('mansfield_rs', 21)} <= 0, false) AS cross_up FROM s4")) + " SELECT ticker, session, array_to_string(list_filter([CASE WHEN cross_up THEN 'mansfield_cross' END, CASE WHEN volume_z >= 2 THEN 'unusual_volume' END, CASE WHEN block_intensity_z >= 2 THEN 'block_activity' END, CASE WHEN csri_delta >= 0.75 THEN 'csri_surge' END, CASE WHEN csri_delta <= -0.75 THEN 'csri_slump' END, CASE WHEN absorption > 0.25 AND coalesce(ret_21, 0) * 100 < 3 THEN 'absorption' END], lambda x: x IS NOT NULL), ',') AS kinds FROM f0")
 def flags(s, d):
-    f = frame(s, d)
-    n = F.count("mansfield_rs").over(I.ordered().rowsBetween(Window.unboundedPreceding, 0))
-    f = f.withColumn("cross_up", F.coalesce((n >= 23) & (F.col("mansfield_rs") > 0) & (I.lag("mansfield_rs", 21) <= 0), F.lit(False)))
+    f = crossed(frame(s, d))
     none = F.lit(None).cast("double")
     f = f.withColumns({"dark_trend": none, "off_trend": none, "block_direction": none, "largest_print": none, "stage": F.lit(None).cast("int")})
     return f.select("ticker", "session", F.array_join(X.flags(), ",").alias("kinds"))
