@@ -292,6 +292,17 @@ def test_quality_held_out(spark):
     assert Q.judge(docs(spark, texts), labels.limit(0)).where("kept").count() > 0 and Q.judge(docs(spark, texts).limit(0), labels).count() == 0
 
 
+def test_lines_beyond_the_first_thousands_train(spark):
+    r = random.Random(3)
+    start = "\n".join(prose(r, 30) for _ in range(60))
+    assert len(start) > 8000
+    tail = {1: "\n".join(prose(r, 30).capitalize() + "." for _ in range(150)), 0: "\n".join(" | ".join(prose(r, 20).split()) + " |" for _ in range(150))}
+    texts = [start + "\n" + tail[i % 2] for i in range(40)] + [tail[1], tail[0]]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x["content_share"] for x in Q.judge(docs(spark, texts), labels).where("doc_id >= 40").collect()}
+    assert got[40] > 0.9 and got[41] < 0.1
+
+
 # --- 7 warc
 
 

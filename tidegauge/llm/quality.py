@@ -4,7 +4,7 @@ A linear-chain conditional random field reads the lines of a document in order,
 repetition, punctuation, length, place), and Viterbi decoding marks each one as content or boilerplate. A document
 is kept if enough of its words stand in content lines and the base rules don't fail it.
 
-The field is trained here on a bounded sample of labelled documents, whose lines take the document's quality as their label; neighbours and
+The field is trained by one executor on a bounded sample of labelled documents, all of whose lines take the document's quality as their label; neighbours and
 weights even out the lines that differ from their document.
 
 Base rules: fewer than 20 words fail, and so do texts of which more than 30 in 100 words lie in 8-word windows that occur twice or more.
@@ -13,6 +13,8 @@ Null and empty texts: no words, which fails. Without labels of both kinds every
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,9 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import Words, prepare, rows, window_hash
 
-#: Labelled documents of each kind that train the field, at most, by hash, and the bytes of each that are read.
+#: Labelled documents of each kind that train the field, at most, by hash; they are read whole.
 MAX_DOCS = 800
-MAX_TRAIN_BYTES = 8_000
 REPEAT = 8
 #: Share of words in content lines from which a document is kept.
 CONTENT = 0.5
@@ -97,41 +98,49 @@ class Field:
     def __init__(self):
         self.w, self.step = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
 
-    def fit(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 80) -> None:
-        """x: (place, document, feature); y: labels; gradient of the log-likelihood by forward and backward sums, with Adam."""
-        m, v, n = [0, 0], [0, 0], max(1.0, (mask * weight).sum())
-        t_n = len(x)
+    def fit(self, groups: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], rounds: int = 80) -> None:
+        """groups of x: (place, document, feature), mask, labels y, and weight by document; gradient of the log-likelihood by forward and backward sums, with Adam."""
+        m, v, n = [0, 0], [0, 0], max(1.0, sum((mask * weight).sum() for _, mask, _, weight in groups))
+        seen = np.zeros((2, 2))
+        for _, mask, y, weight in groups:
+            for i in (0, 1):
+                for j in (0, 1):
+                    seen[i, j] += (weight * mask[1:] * (y[:-1] == i) * (y[1:] == j)).sum()
         for r in range(1, rounds + 1):
-            e = x @ self.w
-            a = np.zeros_like(e)
-            a[0] = e[0]
-            for t in range(1, t_n):
-                a[t] = np.where(mask[t][:, None], np.logaddexp(a[t - 1][:, :1] + self.step[0], a[t - 1][:, 1:] + self.step[1]) + e[t], a[t - 1])
-            z = np.logaddexp(a[-1][:, 0], a[-1][:, 1])
-            b = np.zeros_like(e)
-            pair = np.zeros((2, 2))
-            node = np.zeros_like(e)
-            for t in range(t_n - 1, -1, -1):
-                node[t] = np.exp(a[t] + b[t] - z[:, None]) * (mask[t] * weight)[:, None]
-                if t:
-                    on = mask[t]
-                    s = self.step[None] + (e[t] + b[t])[:, None, :]
-                    p = np.exp(a[t - 1][:, :, None] + s - z[:, None, None])
-                    pair += np.einsum("nij,n->ij", p, on * weight)
-                    b[t - 1] = np.where(on[:, None], np.logaddexp(s[:, :, 0], s[:, :, 1]), b[t])
-            is_one = np.stack([1 - y, y], -1) * (mask * weight)[..., None]
-            g_w = np.einsum("tnf,tnc->fc", x, is_one - node) / n - 1e-4 * self.w
-            seen = np.zeros((2, 2))
-            for t in range(1, t_n):
-                for i in (0, 1):
-                    for j in (0, 1):
-                        seen[i, j] += (weight * mask[t] * (y[t - 1] == i) * (y[t] == j)).sum()
+            g_w, pair = np.zeros_like(self.w), np.zeros((2, 2))
+            for group in groups:
+                one, two = self._gradient(*group)
+                g_w, pair = g_w + one, pair + two
+            g_w = g_w / n - 1e-4 * self.w
             # a whole document shares its label in training: the steps are held back, so that lines still speak for themselves
             g_s = 0.1 * (seen - pair) / n - 2e-2 * self.step
             for k, (p, g) in enumerate(((self.w, g_w), (self.step, g_s))):
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
                 p += 0.1 * (m[k] / (1 - 0.9**r)) / (np.sqrt(v[k] / (1 - 0.99**r)) + 1e-8)
 
+    def _gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the weights, and the expected steps."""
+        t_n = len(x)
+        e = x @ self.w
+        a = np.zeros_like(e)
+        a[0] = e[0]
+        for t in range(1, t_n):
+            a[t] = np.where(mask[t][:, None], np.logaddexp(a[t - 1][:, :1] + self.step[0], a[t - 1][:, 1:] + self.step[1]) + e[t], a[t - 1])
+        z = np.logaddexp(a[-1][:, 0], a[-1][:, 1])
+        b = np.zeros_like(e)
+        pair = np.zeros((2, 2))
+        node = np.zeros_like(e)
+        for t in range(t_n - 1, -1, -1):
+            node[t] = np.exp(a[t] + b[t] - z[:, None]) * (mask[t] * weight)[:, None]
+            if t:
+                on = mask[t]
+                s = self.step[None] + (e[t] + b[t])[:, None, :]
+                p = np.exp(a[t - 1][:, :, None] + s - z[:, None, None])
+                pair += np.einsum("nij,n->ij", p, on * weight)
+                b[t - 1] = np.where(on[:, None], np.logaddexp(s[:, :, 0], s[:, :, 1]), b[t])
+        is_one = np.stack([1 - y, y], -1) * (mask * weight)[..., None]
+        return np.einsum("tnf,tnc->fc", x, is_one - node), pair
+
     def decode(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """The likeliest labels, by (place, document)."""
         if not len(x):
@@ -151,19 +160,24 @@ class Field:
         return out
 
 
+def _alike(k: np.ndarray) -> list[np.ndarray]:
+    """Texts with like numbers of lines k together, so that long ones don't pad the others."""
+    order = np.argsort(k, kind="stable")
+    out, i = [], 0
+    while i < len(k):
+        j = i + int(np.searchsorted(k[order[i:]], max(8, 2 * k[order[i]]), "right"))
+        out.append(order[i:j])
+        i = j
+    return out
+
+
 def content_words(field: Field | None, lines: Lines, n: int) -> np.ndarray:
     """By text, the words in its content lines."""
     if field is None:
         return np.bincount(lines.doc, weights=lines.words, minlength=n)
     out = np.zeros(n)
     k = np.diff(lines.first)
-    order = np.argsort(k, kind="stable")
-    i = 0
-    while i < n:  # texts with like numbers of lines together, so that long ones don't pad the others
-        j = i + 1
-        while j < n and k[order[j]] <= max(8, 2 * k[order[i]]):
-            j += 1
-        docs = order[i:j]
+    for docs in _alike(k):
         at = np.concatenate([np.arange(lines.first[d], lines.first[d + 1]) for d in docs])
         if len(at):
             first = np.r_[0, np.cumsum(k[docs])]
@@ -171,7 +185,6 @@ def content_words(field: Field | None, lines: Lines, n: int) -> np.ndarray:
             content = field.decode(x, mask)
             words, _ = _grid(first, lines.words[at].astype(float))
             out[docs] = (words * content).sum(0)
-        i = j
     return out
 
 
@@ -179,15 +192,18 @@ def train(texts: list[str], quality: np.ndarray) -> Field | None:
     quality = np.asarray(quality)
     if len(set(quality.tolist())) < 2:
         return None
-    w = Words(pa.array([t[: MAX_TRAIN_BYTES] for t in texts], pa.string()))
-    lines = Lines(w)
-    x, mask = _grid(lines.first, lines.x)
-    k = np.maximum(np.diff(lines.first), 1)
+    lines = Lines(Words(pa.array(texts, pa.string())))
+    k = np.diff(lines.first)
     # each document weighs the same, and so do the two kinds
     share = np.where(quality == 1, 0.5 / max(1, (quality == 1).sum()), 0.5 / max(1, (quality == 0).sum()))
-    keep = np.argsort(k, kind="stable")
+    groups = []
+    for docs in _alike(k):
+        at = np.concatenate([np.arange(lines.first[d], lines.first[d + 1]) for d in docs])
+        if len(at):
+            x, mask = _grid(np.r_[0, np.cumsum(k[docs])], lines.x[at])
+            groups.append((x, mask, np.broadcast_to(quality[docs].astype(float), mask.shape), share[docs] / np.maximum(k[docs], 1) * 1e3))
     field = Field()
-    field.fit(x[:, keep], mask[:, keep], np.broadcast_to(quality[keep].astype(float), mask.shape), share[keep] / k[keep] * 1e3)
+    field.fit(groups)
     return field
 
 
@@ -196,9 +212,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Field |
     l = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("_m")).where("quality = _m")
     order = F.xxhash64(F.lit(6), "doc_id")
     picked = [l.where(F.col("quality") == c).orderBy(order, "doc_id").limit(max_docs).select("doc_id", F.col("quality").cast("int").alias("quality")) for c in (0, 1)]
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.coalesce("text", F.lit("")), 1, MAX_TRAIN_BYTES).alias("text"))
-    got = d.join(F.broadcast(picked[0].union(picked[1])), "doc_id").toArrow().to_pandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    return train(got["text"].tolist(), got["quality"].to_numpy())
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches):
+        got = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), reverse=True)
+        got = sorted({i: (i, t, y) for i, t, y in got}.values())
+        yield rows([("field", pa.binary())], field=[pickle.dumps(train([t for _, t, _ in got], np.array([y for _, _, y in got], np.int64)))])
+
+    made = d.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "text", "quality").repartition(1).mapInArrow(run, "field binary").first()
+    return pickle.loads(made["field"]) if made else None
 
 
 _OUT = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("content_share", pa.float64())]
