@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import tempfile
 import uuid
 
@@ -56,6 +58,30 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it holds more than this share of the rows, so at most HOT keys are; its rows are dealt to SALTS tasks.
+HOT, SALTS = 500, 64
+
+
+def join_by_count(left: DataFrame, right: DataFrame, keys: list[str], count: str, spread: str) -> DataFrame:
+    """left with the columns of right, a table of one row a key whose column count says how many rows of left have the key.
+
+    Joined by shuffle at every size. Rows of hot keys, which are at most HOT and so are broadcast, are dealt by spread, a column of
+    left, and right's rows of these keys go to all that share them."""
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT > total
+    known = F.broadcast(right.where(hot).select(*keys, F.lit(True).alias("hot_key")))
+    salted = left.join(known, keys, "left").withColumn("salt", F.when(F.col("hot_key"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot_key")
+    dealt = right.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(dealt.hint("merge"), [*keys, "salt"]).drop("salt")
+
+
+def drop_tables(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that table() wrote and that nothing reads any more."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            drop_path(spark, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes what an operator wrote to the shared folder and no longer needs."""
     jvm = spark.sparkContext._jvm
@@ -72,25 +98,13 @@ def text_key(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-_rng = np.random.default_rng(20240229)
-_BYTE = (_rng.integers(1, 1 << 63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-#: Odd bases and their inverses modulo 2**64: of bytes in a word, and two of words in a window.
-_BASES = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407]
-_pow: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _pow.get(base)
-    if have is None or have.shape[1] < n:
-        size = max(n, CHUNK + 4096)
-        out = np.empty((2, size), np.uint64)
-        with np.errstate(over="ignore"):
-            for row, b in ((0, base), (1, pow(base, -1, 1 << 64))):
-                out[row] = b
-                out[row, 0] = 1
-                np.cumprod(out[row], out=out[row])
-        _pow[base] = have = out
-    return have[0], have[1]
+#: Odd multipliers: one for each of the two independent hashes, and one for joining two halves.
+_SEEDS = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
+_JOIN = 0xA24BAED4963EE407
+#: The low n bytes of a word's last eight.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+#: Words beyond this many bytes are hashed one by one.
+LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -132,20 +146,33 @@ class Words:
         self.count = np.diff(self.first)
         self.hash = self._hash() if hashed else None
 
-    def _hash(self) -> np.ndarray:
-        s, e, out = self.starts, self.ends, np.empty(len(self.starts), np.uint64)
-        i = 0
-        while i < len(s):
-            j = max(i + 1, int(np.searchsorted(e, s[i] + CHUNK, "right")))
-            lo, hi = s[i], e[j - 1]
-            p, inv = _powers(_BASES[0], int(hi - lo) + 1)
-            h = np.zeros(hi - lo + 1, np.uint64)
-            with np.errstate(over="ignore"):
-                np.cumsum(_BYTE[self.data[lo:hi]] * p[: hi - lo], out=h[1:])
-                a = s[i:j] - lo
-                out[i:j] = (h[e[i:j] - lo] - h[a]) * inv[a]
-            i = j
-        return mix(out)
+    def _hash(self, which: int = 1) -> np.ndarray:
+        """By word, a hash of its bytes, eight at a time with a finaliser after each; two independent ones."""
+        length = self.ends - self.starts
+        seed = np.uint64(_SEEDS[which - 1])
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = self.data
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        with np.errstate(over="ignore"):
+            out = mix((length.astype(np.uint64) + np.uint64(which)) * seed)
+            live = np.flatnonzero(length <= LONG)
+            k = 0
+            while len(live):
+                for i in range(0, len(live), CHUNK):
+                    at = live[i : i + CHUNK]
+                    some = eight[self.starts[at] + k] & _LOW[np.minimum(length[at] - k, 8)]
+                    out[at] = mix((out[at] ^ some) * seed)
+                k += 8
+                live = live[length[live] > k]
+        for i in np.flatnonzero(length > LONG):
+            digest = hashlib.blake2b(self.data[self.starts[i] : self.ends[i]].tobytes(), digest_size=16).digest()
+            out[i] = np.frombuffer(digest, np.uint64)[which - 1]
+        return out
+
+    @functools.cached_property
+    def second(self) -> np.ndarray:
+        """The other hash by word."""
+        return self._hash(2)
 
     @property
     def doc(self) -> np.ndarray:
@@ -159,32 +186,42 @@ class Words:
         return at, doc
 
 
-def window_hash(h: np.ndarray, at: np.ndarray, width: int, which: int = 1) -> np.ndarray:
-    """Hashes of h[i : i + width] for the i in at (ascending), by differences of prefix sums; which: 1 or 2, two independent ones."""
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two halves by theirs. Not linear, so no sums of words can cancel."""
+    x = (a ^ (a >> np.uint64(29))) * np.uint64(_JOIN) + b
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(_SEEDS[1])
+    return x
+
+
+def window_hash(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of h[i : i + width] for the i in at (ascending): hashes of 1, 2, 4, ... elements, each of two halves, of which those
+    that width is the sum of are joined."""
     out = np.empty(len(at), np.uint64)
     i = 0
-    h = h if which == 1 else mix(h ^ np.uint64(0x5851F42D4C957F2D))
-    while i < len(at):
-        lo = at[i]
-        j = max(i + 1, int(np.searchsorted(at, lo + CHUNK - width, "right")))
-        hi = at[j - 1] + width
-        p, inv = _powers(_BASES[which], int(hi - lo) + 1)
-        c = np.zeros(hi - lo + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(h[lo:hi] * p[: hi - lo], out=c[1:])
-            a = at[i:j] - lo
-            out[i:j] = (c[a + width] - c[a]) * inv[a]
-        i = j
+    with np.errstate(over="ignore"):
+        while i < len(at):
+            lo = at[i]
+            j = max(i + 1, int(np.searchsorted(at, lo + CHUNK - width, "right")))
+            place, power, n, got = at[i:j] - lo, h[lo : at[j - 1] + width], 1, None
+            while True:
+                if width & n:
+                    got = power[place] if got is None else _joined(got, power[place])
+                    place = place + n
+                if 2 * n > width:
+                    break
+                power = _joined(power[:-n], power[n:])
+                n *= 2
+            out[i:j] = got
+            i = j
     return mix(out)
 
 
 def text_hashes(w: Words, texts: np.ndarray) -> np.ndarray:
-    """Two hashes of the whole word sequence of each of these texts."""
+    """128 bits, as two rows, of the whole word sequence of each of these texts: a cryptographic hash of its words' hashes."""
     out = np.zeros((2, len(texts)), np.uint64)
     for j, d in enumerate(texts):
-        h = w.hash[w.first[d] : w.first[d + 1]]
-        for k in (0, 1):
-            out[k, j] = window_hash(h, np.zeros(1, np.int64), len(h), k + 1)[0]
+        out[:, j] = np.frombuffer(hashlib.blake2b(w.hash[w.first[d] : w.first[d + 1]].tobytes(), digest_size=16).digest(), np.uint64)
     return out
 
 
