@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, prepare, rows, signed, table, text_hashes, text_key, window_hash
+from .common import Words, join_by_count, mix, prepare, rows, signed, table, text_hashes, text_key, window_hash
 
 WIDTH = 50
 PERIOD = 31
@@ -86,7 +86,7 @@ def _candidates(width: int):
             doc = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
             place = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
             at = place + w.first[doc]
-            yield rows(_WINDOW, h1=signed(window_hash(w.hash, at, width, 1)), h2=signed(window_hash(w.hash, at, width, 2)), doc_id=doc_id[doc], text_key=key[doc], place=place.astype(np.int32))
+            yield rows(_WINDOW, h1=signed(window_hash(w.hash, at, width)), h2=signed(window_hash(w.second, at, width)), doc_id=doc_id[doc], text_key=key[doc], place=place.astype(np.int32))
 
     return run
 
@@ -133,9 +133,9 @@ def cuts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     prepare(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     anchors = base.mapInArrow(_anchors(width), _ddl(_ANCHOR))
-    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest")
+    shared = table(anchors.groupBy("h").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"), F.count("*").alias("n")).where("lowest < highest").drop("highest"), "shared")
     hits = (
-        anchors.join(shared.select("h", "lowest"), "h")
+        join_by_count(anchors, shared, ["h"], "n", "doc_id")
         .groupBy("doc_id")
         .agg(
             F.collect_set(F.when(F.col("place") >= 0, F.col("place"))).alias("places"),
@@ -148,8 +148,8 @@ def cuts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     )
     found = table(base.withColumn("text_key", text_key()).join(hits, "doc_id"), "repeats")
     windows = found.where("not copy").select("doc_id", "text_key", "text", "places").mapInArrow(_candidates(width), _ddl(_WINDOW))
-    lowest = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest")
-    places = windows.join(lowest.select("h1", "h2", "lowest"), ["h1", "h2"]).where("lowest < doc_id").groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("cuts"))
+    lowest = table(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"), F.count("*").alias("n")).where("lowest < highest").drop("highest"), "lowest")
+    places = join_by_count(windows, lowest, ["h1", "h2"], "n", "doc_id").where("lowest < doc_id").groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("cuts"))
     cut = found.select("doc_id", "text_key", "text", "copy").join(places, ["doc_id", "text_key"], "left").where("copy or cuts is not null")
     return cut.mapInArrow(_cut(width), _ddl(_CUT)).dropDuplicates(["doc_id", "text_key"])
 
@@ -169,7 +169,8 @@ def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs without the words that a smaller document's windows repeat; same columns and rows. Kept words keep the white space before them."""
-    lost = cuts(docs, width).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("cut_text").alias("_cut"))
-    d = docs.withColumn("_own", text_key())
-    joined = d.join(lost, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_own") == F.col("_key")), "left")
-    return joined.select(*[F.coalesce("_cut", docs["text"]).alias(c) if c == "text" else docs[c] for c in docs.columns])
+    lost = cuts(docs, width).select("doc_id", "text_key", "cut_text")
+    # the rows as one column, so that no name of theirs meets one of ours
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.struct("*").alias("row"))
+    own = lambda c: F.col("row").getField(c)
+    return d.join(lost, ["doc_id", "text_key"], "left").select(*[(F.coalesce("cut_text", own(c)) if c == "text" else own(c)).alias(c) for c in docs.columns])
