@@ -7,11 +7,14 @@ candidates; the similarity of a pair is s / (n + m - s), where s is the longest
 found within the band that a similarity of THRESHOLD allows. At 0.8 a pair misses all 16 keys about once in 10**5 times.
 
 Equal word sequences are collapsed first (128-bit hashes) and only one document of each takes part. In a bucket, all are held
-against its PIVOTS most central members (those in the largest buckets), which settles nearly all of a group of copies with a few
+against its pivot, the most central member (in the largest buckets), which settles nearly all of a group of copies with a few
 alignments each. Then those outside the bucket's largest class are held against all of the bucket, so that no link between classes is lost:
 not pair by pair, but in blocks, where one matrix product bounds every pair's similarity by its common k-mers and only pairs
 that can reach the threshold are aligned.
 
+Links go from a document to the smallest pivot it matched, and from there to its other ones; late links join classes, not documents. So
+there are about as many links as documents, however large a group is.
+
 Null and empty texts: a class of their own each, as are rows without an id. A text of fewer words than SHINGLE has one k-mer.
 Rows that share an id are told apart by their text, and equal rows are one document.
 """
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, prepare, rows, signed, table, text_hashes, text_key, window_hash
+from .common import WORD, Words, drop_tables, join_by_count, mix, prepare, rows, signed, table, text_hashes, text_key, window_hash
 from .graph import components
 
 SHINGLE = 5
@@ -32,7 +35,6 @@ BANDS = 16
 MINIMA = 3
 #: Of the labelled k-mers of a text, about this many are looked at for each hash function's minima.
 POOL = 32
-PIVOTS = 3
 #: Documents of one block, of those that are left and of the bucket they are held against.
 LEFT_BLOCK, ALL_BLOCK = 32, 64
 
@@ -129,7 +131,7 @@ def _sequences(width: int):
                 part = b.slice(i, 200)
                 h, first = kmers(Words(part.column("text")), width)
                 short = (h >> np.uint64(32)).astype(np.uint32)
-                yield rows([("doc_id", pa.int64()), ("kmers", pa.binary())], doc_id=part.column("doc_id"), kmers=[short[first[d] : first[d + 1]].tobytes() for d in range(len(part))])
+                yield rows([("node", pa.int64()), ("kmers", pa.binary())], node=part.column("node"), kmers=[short[first[d] : first[d + 1]].tobytes() for d in range(len(part))])
 
     return run
 
@@ -230,8 +232,8 @@ def _verify(threshold: float):
     def run(batches):
         for b in batches:
             left, right = b.column("ka"), b.column("kb")
-            sims = [similarity(np.frombuffer(left[i].as_py(), np.uint32), np.frombuffer(right[i].as_py(), np.uint32), threshold) for i in range(len(b))]
-            yield rows([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())], a=b.column("a"), b=b.column("b"), similarity=sims).filter(pa.array([x >= threshold for x in sims], pa.bool_()))
+            same = [similarity(np.frombuffer(left[i].as_py(), np.uint32), np.frombuffer(right[i].as_py(), np.uint32), threshold) >= threshold for i in range(len(b))]
+            yield rows([("node", pa.int64()), ("pivot", pa.int64())], node=b.column("node"), pivot=b.column("pivot")).filter(pa.array(same, pa.bool_()))
 
     return run
 
@@ -266,77 +268,105 @@ def _may_link(left: list[np.ndarray], right: list[np.ndarray], threshold: float)
 
 
 def _verify_blocks(threshold: float):
+    """Links between classes (parts). A part that a block has already joined to another isn't held against it again."""
+
     def run(batches):
         for b in batches:
             found = []
             for few, all_ in zip(b.column("few").to_pylist(), b.column("every").to_pylist(), strict=True):
                 left, right = ([np.frombuffer(r["kmers"], np.uint32) for r in x] for x in (few, all_))
+                root: dict[int, int] = {}
+
+                def top(part):
+                    while (up := root.get(part, part)) != part:
+                        part = up
+                    return part
+
                 for i, j in zip(*np.nonzero(_may_link(left, right, threshold)), strict=True):
-                    if few[i]["part"] != all_[j]["part"] and similarity(left[i], right[j], threshold) >= threshold:
-                        found.append((min(few[i]["doc_id"], all_[j]["doc_id"]), max(few[i]["doc_id"], all_[j]["doc_id"])))
+                    p, q = top(few[i]["part"]), top(all_[j]["part"])
+                    if p != q and similarity(left[i], right[j], threshold) >= threshold:
+                        root[max(p, q)] = min(p, q)
+                        found.append((few[i]["part"], all_[j]["part"]))
             yield rows([("a", pa.int64()), ("b", pa.int64())], a=[x for x, _ in found], b=[y for _, y in found])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, minima: int = MINIMA, width: int = SHINGLE) -> DataFrame:
-    """One row for each row of docs: doc_id, text_key, class_id (the smallest doc_id of its class), n_words, class_size (rows)."""
+def _by_key(df: DataFrame) -> DataFrame:
+    """Joined by shuffle at every size: what is on this side grows with the documents."""
+    return df.hint("merge")
+
+
+def _reduced(links: DataFrame) -> DataFrame:
+    """Links (node, pivot) as fewer that connect the same: each node to its smallest pivot, and that one to the node's others."""
+    of = links.groupBy("node").agg(F.min("pivot").alias("first"), F.collect_set("pivot").alias("pivots"))
+    return of.select(F.col("first").alias("a"), F.explode(F.concat(F.array("node"), "pivots")).alias("b")).where("a <> b").distinct()
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, minima: int = MINIMA, width: int = SHINGLE) -> DataFrame:
+    """One row for each row of docs: doc_id, text_key, n_words, and of its class: class_id (the smallest doc_id), class_text (that
+    document's text_key, the smallest) and class_size (rows)."""
     spark = docs.sparkSession
     prepare(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
     every = table(base.mapInArrow(_sketches(bands, minima, width), _DDL), "sketches")
-    with_words = every.where("n_words > 0 and doc_id is not null")
-    same = with_words.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    # rows of one id with several texts are one node: links are between ids
-    nodes = with_words.join(same, ["f1", "f2"])
-    reps = nodes.where("rep = doc_id").select("doc_id", "text_key", "n_kmers", "keys").dropDuplicates(["doc_id", "text_key"])
-    members = reps.select("doc_id", "text_key", "n_kmers", F.explode("keys").alias("bucket"))
+    # a node is a word sequence, whatever rows have it
+    first = F.min(F.struct("doc_id", "text_key", "n_kmers", "keys")).alias("r")
+    nodes = every.where("n_words > 0 and doc_id is not null").groupBy("f1", "f2").agg(first, F.count("*").alias("n_rows"))
+    nodes = table(nodes.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "n_rows", "r.*"), "nodes")
+    members = nodes.select("node", "n_kmers", F.explode("keys").alias("bucket"))
     crowded = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = members.join(crowded, "bucket")
-    degree = members.groupBy("doc_id").agg(F.sum("size").alias("degree"))
-    members = table(members.join(degree, "doc_id"), "members")
-    # the most central members of each bucket, one after another, by aggregates that combine before the shuffle
-    central = F.struct(-F.col("degree"), "doc_id", "n_kmers")
+    members = table(members.join(_by_key(crowded), "bucket"), "members")
+    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
     close = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
-    tops = None
-    for _ in range(PIVOTS):
-        rest = members if tops is None else members.join(tops.select("bucket", F.col("p.doc_id").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
-        new = rest.groupBy("bucket").agg(F.min(central).alias("p"))
-        tops = table(new if tops is None else tops.union(new), "pivots")
-    p = F.col("p.doc_id")
-    pairs = members.join(tops, "bucket").where((p != F.col("doc_id")) & close(F.col("p.n_kmers"), F.col("n_kmers"))).select(F.least(p, "doc_id").alias("a"), F.greatest(p, "doc_id").alias("b")).distinct()
-    needed = members.select("doc_id", "text_key").distinct()
-    sequences = table(base.join(needed, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text").mapInArrow(_sequences(width), "doc_id long, kmers binary"), "sequences")
-    a = sequences.select(F.col("doc_id").alias("a"), F.col("kmers").alias("ka"))
-    b = sequences.select(F.col("doc_id").alias("b"), F.col("kmers").alias("kb"))
-    links = table(pairs.join(a, "a").join(b, "b").select("a", "b", "ka", "kb").mapInArrow(_verify(threshold), "a long, b long, similarity double"), "pairs").select("a", "b")
-    tied = nodes.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    parts = components(links.union(tied))
-    where = members.select("bucket", "doc_id", "size").distinct().join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "size", F.coalesce("component", "doc_id").alias("part"))
+    # the most central member of each bucket, by an aggregate that combines before the shuffle
+    tops = members.join(_by_key(degree), "node").groupBy("bucket").agg(F.min(F.struct(-F.col("degree"), "node", "n_kmers")).alias("p"))
+    p = F.col("p.node")
+    pairs = members.join(_by_key(tops), "bucket").where((p != F.col("node")) & close(F.col("p.n_kmers"), F.col("n_kmers")))
+    pairs = pairs.groupBy(F.least(p, "node").alias("a"), F.greatest(p, "node").alias("b")).agg(F.min(p).alias("pivot")).select((F.col("a") + F.col("b") - F.col("pivot")).alias("node"), "pivot")
+    needed = nodes.join(_by_key(members.select("node").distinct()), "node", "left_semi").select("node", "doc_id", "text_key")
+    sequences = table(base.join(_by_key(needed), ["doc_id", "text_key"]).dropDuplicates(["node"]).select("node", "text").mapInArrow(_sequences(width), "node long, kmers binary"), "sequences")
+    own, others = sequences.withColumnRenamed("kmers", "ka"), sequences.select(F.col("node").alias("pivot"), F.col("kmers").alias("kb"))
+    links = pairs.join(_by_key(own), "node").join(_by_key(others), "pivot").select("node", "pivot", "ka", "kb").mapInArrow(_verify(threshold), "node long, pivot long")
+    parts = components(_reduced(links))
+    where = members.select("bucket", "node", "size").join(_by_key(parts.withColumnRenamed("id", "node")), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
     counts = where.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("m"), F.count("*").alias("k"), F.sum("n").alias("all")).where("k > 1")
-    where = table(where.join(counts.select("bucket", F.col("m.part").alias("large"), F.col("m.n").alias("n"), "all"), "bucket"), "mixed")
-    there = where.join(sequences, "doc_id")
-    block = lambda size: F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(size)).cast("long"))
-    packed = lambda df, n, name: df.groupBy("bucket", n.alias("block")).agg(F.collect_list(F.struct("doc_id", "part", "kmers")).alias(name)).drop("block")
+    where = table(where.join(_by_key(counts.select("bucket", F.col("m.part").alias("large"), F.col("m.n").alias("n"), "all")), "bucket"), "mixed")
+    there = where.join(_by_key(sequences), "node")
+    block = lambda size: F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(size)).cast("long"))
+    packed = lambda df, n, name: df.groupBy("bucket", n.alias("block")).agg(F.collect_list(F.struct("part", "kmers")).alias(name)).drop("block")
     few = packed(there.where("part <> large"), block((F.col("all") - F.col("n")) / LEFT_BLOCK), "few")
-    blocks = few.join(packed(there, block(F.col("all") / ALL_BLOCK), "every"), "bucket").select("few", "every")
+    blocks = few.join(_by_key(packed(there, block(F.col("all") / ALL_BLOCK), "every")), "bucket").select("few", "every")
     batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     try:
-        late = table(blocks.mapInArrow(_verify_blocks(threshold), "a long, b long").distinct(), "pairs")
+        late = table(blocks.mapInArrow(_verify_blocks(threshold), "a long, b long").distinct(), "late")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    drop_tables(spark, members, sequences, where)
+    known = nodes.select("node", "f1", "f2", "n_rows", "doc_id", "text_key").join(_by_key(parts.withColumnRenamed("id", "node")), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     if not late.isEmpty():
-        parts = components(links.union(tied).union(late))
-    final = every.join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "text_key", "n_words", F.coalesce("component", "doc_id").alias("class_id"))
-    sizes = final.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return final.join(sizes, "class_id").select("doc_id", "text_key", "n_words", "class_id", "class_size").union(final.where("class_id is null").select("doc_id", "text_key", "n_words", "class_id", F.lit(1).cast("long").alias("class_size")))
+        joined = components(late)
+        known = known.join(_by_key(joined.withColumnRenamed("id", "part")), "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component")
+    known = table(known, "classes")
+    sums = table(known.groupBy("part").agg(F.min(F.struct("doc_id", "text_key")).alias("m"), F.sum("n_rows").alias("class_size"), F.count("*").alias("n_nodes")), "class-sums")
+    of = join_by_count(known.select("f1", "f2", "n_rows", "part"), sums, ["part"], "n_nodes", "f1").select("f1", "f2", "n_rows", F.col("m.doc_id").alias("class_id"), F.col("m.text_key").alias("class_text"), "class_size")
+    some = every.where("n_words > 0 and doc_id is not null").select("doc_id", "text_key", "n_words", "f1", "f2")
+    alone = every.where("n_words = 0 or doc_id is null").select("doc_id", "text_key", "n_words", F.col("doc_id").alias("class_id"), F.col("text_key").alias("class_text"), F.lit(1).cast("long").alias("class_size"))
+    return join_by_count(some, table(of, "sequence-classes"), ["f1", "f2"], "n_rows", "doc_id").select(*alone.columns).union(alone)
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """One row for each row of docs: doc_id, text_key, class_id (the smallest doc_id of its class), n_words, class_size (rows)."""
+    return classes(docs, **how).select("doc_id", "text_key", "class_id", "n_words", "class_size")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs without all but the smallest document of each class; of rows with its id, the one with the smallest text key. Rows without an id, and empty texts, stay."""
-    found = near_duplicates(docs, **how).where("doc_id = class_id and n_words > 0").groupBy("doc_id").agg(F.min("text_key").alias("_k")).withColumnRenamed("doc_id", "_id")
-    d = docs.withColumn("_own", text_key()).withColumn("_words", F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)))
-    stay = d.where(~F.col("_words") | F.col("doc_id").isNull()).drop("_own", "_words")
-    kept = d.where("_words").join(found, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_k")), "left_semi").dropDuplicates(["doc_id", "_own"])
-    return kept.select(*docs.columns).union(stay)
+    """docs without all but the smallest document of each class (by id, then by text key); of equal rows one stays. Rows without an id, and
+    those without words, stay."""
+    best = classes(docs, **how).where("n_words > 0 and doc_id = class_id and text_key = class_text").select("doc_id", "text_key").distinct()
+    # the rows as one column, so that no name of theirs meets one of ours
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.struct("*").alias("row"))
+    wordless = ~F.coalesce(F.regexp_like(F.col("row.text"), F.lit(WORD)), F.lit(False)) | F.col("doc_id").isNull()
+    kept = d.where(~wordless).join(_by_key(best), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return kept.union(d.where(wordless)).select("row.*")
