@@ -146,7 +146,7 @@ def flags() -> Column:
     rules = (
         ("mansfield_cross", c("cross_up")), ("unusual_volume", c("volume_z") >= 2), ("block_activity", c("block_intensity_z") >= 2), ("csri_surge", c("csri_delta") >= 0.75), ("csri_slump", c("csri_delta") <= -0.75),
         ("absorption", (c("absorption") > 0.25) & (F.coalesce(c("ret_21"), F.lit(0.0)) * 100 < 3)), ("dark_pool", F.abs("dark_trend") > 0.015), ("off_exchange", c("off_trend") > 0.02), ("block_direction", F.abs("block_direction") > 0.15),
-        ("large_print", c("largest_print") >= 25e6), ("stage4", c("stage") == 4),
+        ("large_print", c("largest_notional") >= 25e6), ("stage4", c("stage") == 4),
     )
     return F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), name) for name, rule in rules]))
 
@@ -157,13 +157,14 @@ def tier_rank(last: DataFrame, x: str = "csri") -> DataFrame:
     return f.withColumn("percentile", 100.0 * (F.count("*").over(w) - F.col("rank") + 1) / F.count("*").over(w))
 
 
-def rotation(last: DataFrame, delta: str = "csri_delta", top: int = 4, material: float = 0.5) -> DataFrame:
-    """Among tier 1 (at least top names): the top gainers above zero and losers below, and whether the change is material."""
-    f = last.where((F.col("tier") == 1) & F.col(delta).isNotNull())
-    up = f.where(F.col(delta) > 0).orderBy(F.desc(delta), "ticker").limit(top).withColumn("side", F.lit("gaining"))
-    down = f.where(F.col(delta) < 0).orderBy(delta, "ticker").limit(top).withColumn("side", F.lit("losing"))
-    enough = f.agg(F.count("*").alias("_n")).where(F.col("_n") >= top)
-    return up.unionByName(down).withColumn("material", F.abs(delta) >= material).crossJoin(F.broadcast(enough)).drop("_n")
+def rotation(last: DataFrame, score: str = "vms", top: int = 4, least: int = 4, material: float = 0.5) -> DataFrame:
+    """Among tier 1 (at least so many names), by the momentum score: the top ones above zero gain ground and the last ones below lose it; and
+    whether each stands out from its peers."""
+    f = last.where((F.col("tier") == 1) & F.col(score).isNotNull())
+    up = f.where(F.col(score) > 0).orderBy(F.desc(score), "ticker").limit(top).withColumn("side", F.lit("gaining"))
+    down = f.where(F.col(score) < 0).orderBy(score, F.desc("ticker")).limit(top).withColumn("side", F.lit("losing"))
+    enough = f.agg(F.count("*").alias("n_total"), F.sum((F.abs(score) >= material).cast("int")).alias("n_material")).where(F.col("n_total") >= least)
+    return up.unionByName(down).withColumn("material", F.abs(score) >= material).crossJoin(F.broadcast(enough))  # one row
 
 
 def market_regime(bench: DataFrame) -> DataFrame:

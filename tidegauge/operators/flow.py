@@ -43,7 +43,7 @@ def multi_session(daily: DataFrame, days: int = 20, least: int = 3) -> DataFrame
     """Over each ticker's last days sessions: latest, mean and trend (mean of the last three less the mean of all before; null under four)."""
     w = Window.partitionBy("ticker")
     f = daily.withColumn("_back", F.row_number().over(w.orderBy(F.desc("day")))).where(F.col("_back") <= days)
-    out = [F.count("*").alias("sessions"), F.max("largest_print").alias("largest_print"), F.sum(F.col("truncated").cast("int")).alias("truncated_days"), F.bool_and("dark_equals_off").alias("dark_equals_off"), F.avg("block_direction").alias("block_direction"), F.max("day").alias("day")]
+    out = [F.count("*").alias("sessions"), F.max("largest_print").alias("largest_print"), F.max("largest_notional").alias("largest_notional"), F.max_by("block_count", "day").alias("block_count_latest"), F.avg("block_count").alias("block_count_mean"), F.avg("notional").alias("adv"), F.sum(F.col("truncated").cast("int")).alias("truncated_days"), F.bool_and("dark_equals_off").alias("dark_equals_off"), F.avg("block_direction").alias("block_direction"), F.max("day").alias("day")]
     for c in ("off_share", "dark_share", "block_share"):
         late, early = F.avg(F.when(F.col("_back") <= 3, F.col(c))), F.avg(F.when(F.col("_back") > 3, F.col(c)))
         out += [F.max_by(c, "day").alias(f"{c}_latest"), F.avg(c).alias(f"{c}_mean"), (late - early).alias(f"{c}_trend")]
@@ -55,7 +55,7 @@ def trailing(daily: DataFrame, days: int = 20, least: int = 3) -> DataFrame:
     own = Window.partitionBy("ticker").orderBy("day")
     w = own.rowsBetween(1 - days, 0)
     trend = lambda c: F.avg(c).over(own.rowsBetween(-2, 0)) - F.avg(c).over(own.rowsBetween(1 - days, -3))
-    f = daily.select("ticker", "day", trend("dark_share").alias("dark_trend"), trend("off_share").alias("off_trend"), F.avg("block_direction").over(w).alias("block_direction"), F.max("largest_notional").over(w).alias("largest_print"), F.count("*").over(w).alias("_n"))
+    f = daily.select("ticker", "day", trend("dark_share").alias("dark_trend"), trend("off_share").alias("off_trend"), F.avg("block_direction").over(w).alias("block_direction"), F.max("largest_notional").over(w).alias("largest_notional"), F.count("*").over(w).alias("_n"))
     return f.where(F.col("_n") >= least).drop("_n")
 
 
@@ -68,13 +68,15 @@ def flow_score() -> Column:
 
 
 def block_buckets(multi: DataFrame) -> DataFrame:
-    """Tags of a ticker's block trading (not a partition): by share, surprise against its mean, size and direction. adv: daily dollar volume, or null."""
-    m = multi.withColumn("surprise", F.col("block_share_latest") / F.nullif(F.col("block_share_mean"), F.lit(0.0)))
+    """Tags of a ticker's block trading (not a partition): by share, surprise of share and count against their means, the largest print's
+    dollars, and direction. adv: daily dollar volume, or null."""
+    surprise = lambda x: F.col(f"{x}_latest") / F.nullif(F.col(f"{x}_mean"), F.lit(0.0))
+    m = multi.withColumns({"surprise": surprise("block_share"), "count_surprise": surprise("block_count")})
     c = F.col
     small = c("adv").isNull() | (c("adv") <= 200e6)
     rules = (
         ("Safe Bets", (c("block_share_latest") >= 0.20) & (c("surprise").isNull() | (c("surprise") < 1.5)) & (c("block_direction").isNull() | (c("block_direction") > -0.25))),
-        ("Most Unusual", c("surprise") >= 1.5), ("Top Positions", c("largest_print") >= 50e6), ("Longshots", (F.abs("block_direction") >= 0.30) & (c("block_share_latest") >= 0.15) & small),
+        ("Most Unusual", F.coalesce(c("surprise") >= 1.5, F.lit(False)) | (c("count_surprise") >= 2)), ("Top Positions", c("largest_notional") >= 50e6), ("Longshots", (F.abs("block_direction") >= 0.30) & (c("block_share_latest") >= 0.15) & small),
     )
     return m.withColumn("buckets", F.array_compact(F.array(*[F.when(F.coalesce(r, F.lit(False)), n) for n, r in rules])))
 

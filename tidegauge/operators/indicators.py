@@ -108,8 +108,8 @@ def volume_regime(bars: DataFrame, span: int = 252) -> DataFrame:
     strength = F.abs("trend_z")
     return (
         t.withColumn("sustained", F.col("run_days") >= 20)
-        .withColumn("direction", F.when(F.col("trend_slope") > 5, "rising").when(F.col("trend_slope") < -5, "falling").when(F.col("trend_slope").isNotNull(), "steady"))
-        .withColumn("strength", F.when(strength >= 2.5, "extreme").when(strength >= 1.5, "strong").when(strength >= 0.75, "moderate").otherwise("normal"))
+        .withColumn("direction", F.when(F.col("trend_slope") > 5, "building").when(F.col("trend_slope") < -5, "rolling over").when(F.col("trend_slope").isNotNull(), "steady"))
+        .withColumn("strength", F.when(strength >= 2.5, "extreme").when(strength >= 1.5, "strong").when(strength >= 0.75, "notable").otherwise("unremarkable"))
         .where("readings >= 30")
         .drop("_sd", "_mean", "_all", "_run", "changed")
     )
@@ -145,12 +145,14 @@ def moving_averages(bars: DataFrame, spans: tuple[int, ...] = (20, 50, 150, 200)
 
 
 def breadth(constituents: DataFrame, n: int = 50, least_bars: int = 55, least_names: int = 8) -> DataFrame:
-    """parent, session, breadth: of a parent's constituents with an average, the share (in 100) that close above it. Constituents with
-    too few bars don't count; a parent with too few that do has none."""
-    c = constituents.withColumns({"_sma": mean("close", n), "_bars": F.count("*").over(Window.partitionBy("ticker"))}).where(F.col("_bars") >= least_bars)
-    names = c.groupBy("parent").agg(F.countDistinct("ticker").alias("_names")).where(F.col("_names") >= least_names)
+    """parent, session, breadth: of a parent's constituents with an average, the share (in 100) that close above it. A constituent counts
+    from its least_bars-th bar on, and a parent has a breadth from the day on which least_names of its constituents do."""
+    c = constituents.withColumns({"_sma": mean("close", n), "_bars": position()}).where(F.col("_bars") >= least_bars)
+    entry = c.groupBy("parent", "ticker").agg(F.min("session").alias("_since"))
+    nth = F.row_number().over(Window.partitionBy("parent").orderBy("_since", "ticker"))
+    entry = entry.withColumn("_nth", nth).where(F.col("_nth") == least_names).select("parent", "_since")
     day = c.where("_sma is not null").groupBy("parent", "session").agg((F.avg(flag(F.col("close") > F.col("_sma"))) * 100).alias("breadth"), F.count("*").alias("n_names"))
-    return day.join(names.select("parent"), "parent", "left_semi")
+    return day.join(entry, "parent").where(F.col("session") >= F.col("_since")).drop("_since")
 
 
 def short_interest_metrics(settlements: DataFrame, as_of: DataFrame, lag_days: int = 14) -> DataFrame:
@@ -193,33 +195,41 @@ def green_light(frame: DataFrame) -> DataFrame:
 
 
 def setups(bars: DataFrame, look: int = 5, touch: float = 0.02) -> DataFrame:
-    """ticker, setup, session, stop: each kind's latest occurrence within a ticker's last look bars (60 bars at least).
+    """ticker, session, setup, direction, stop, confirmed: each kind's latest occurrence within a ticker's last look bars (60 bars at least).
     A breakout is confirmed by the next close above its high; on the last bar that isn't known yet."""
     b = bars.withColumns({"n_bars": position(), "_back": F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("session"))), "_av": mean("volume", 50, 20), "_range": F.col("high") - F.col("low"), "sma_50": mean("close", 50)})
-    b = b.withColumns({"_big": F.col("_range") > 1.3 * mean("_range", 20, 10), "_heavy": F.col("volume") > F.col("_av"), "_slope": F.col("sma_50") - lag("sma_50", 21), "_next": lead("close"), "_before": lag("close")})
-    c1, c2, c3 = lag("close", 1), lag("close", 2), lag("close", 3)
-    b = b.withColumn("_turn", (F.col("close") > c1) & (c1 < c2) & (c2 < c3) & (F.col("close") > lag("high", 1)))
-    low, close, sma = F.col("low"), F.col("close"), F.col("sma_50")
-    bounce = (low <= sma * (1 + touch)) & (close > sma) & (F.col("_slope") > 0) & F.col("_heavy")
-    up = (F.col("_before") <= lag("sma_50")) & (close > sma) & F.col("_big") & F.col("_heavy")
-    down = (F.col("_before") >= lag("sma_50")) & (close < sma) & F.col("_big") & F.col("_heavy")
-    kinds = (("ma_bounce", bounce, low * 0.99), ("breakout", up, low * 0.99), ("breakdown", down, F.col("high") * 1.01), ("reversal", F.col("_turn"), low * 0.99))
-    found = F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(n).alias("setup"), stop.alias("stop"))) for n, cond, stop in kinds]))
-    b = b.withColumn("_found", found).where((F.col("_back") <= look) & (F.col("n_bars") >= 60))
-    b = b.select("ticker", "session", F.explode("_found").alias("s"), "high", "_next").select("ticker", "session", "s.setup", "s.stop", F.when(F.col("s.setup") == "breakout", F.col("_next") > F.col("high")).alias("confirmed"))
+    b = b.withColumns({"_big": F.col("_range") > 1.3 * mean("_range", 20, 10), "_slope": F.coalesce((ratio("sma_50", lag("sma_50", 21)) - 1) * 100, F.lit(0.0)), "_over": F.coalesce(lag("close") > lag("sma_50"), F.lit(False)), "_next": lead("close")})
+    b = b.withColumns({"_red": lag("close", 2) < lag("open", 2), "_recovered": lag("close") > lag("open", 2), "_higher": F.col("close") > lag("close"), "_low2": lag("low", 2)})
+    b = b.withColumn("_total", F.max("n_bars").over(Window.partitionBy("ticker")))
+    low, close, sma, slope, over_ = (F.col(c) for c in ("low", "close", "sma_50", "_slope", "_over"))
+    heavy, up_day = F.col("volume") > F.col("_av"), close > F.col("open")
+    kinds = (
+        ("ma_bounce", "long", (low <= sma * (1 + touch)) & (close > sma) & (slope > 0) & up_day & heavy & over_, F.least(low, sma) * 0.99),
+        ("breakout", "long", ~over_ & (close > sma) & up_day & F.col("_big") & (slope > -0.5), sma * 0.99),
+        ("breakdown", "exit/short", over_ & (close < sma) & ~up_day & heavy, sma * 1.01),
+        ("reversal", "long", F.col("_red") & F.col("_recovered") & F.col("_higher") & heavy, F.col("_low2") * 0.99),
+    )
+    found = F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(n).alias("setup"), F.lit(way).alias("direction"), stop.alias("stop"))) for n, way, cond, stop in kinds]))
+    b = b.withColumn("_found", found).where((F.col("_back") <= look) & (F.col("_total") >= 60) & (F.col("n_bars") > 50) & sma.isNotNull() & F.col("_av").isNotNull())
+    b = b.select("ticker", "session", F.explode("_found").alias("s"), "high", "_next").select("ticker", "session", "s.*", F.when(F.col("s.setup") == "breakout", F.col("_next") > F.col("high")).alias("confirmed"))
     latest = F.row_number().over(Window.partitionBy("ticker", "setup").orderBy(F.desc("session")))
     return b.withColumn("_n", latest).where("_n = 1").drop("_n")
 
 
 def sma_breakouts(bars: DataFrame, spans: tuple[int, ...] = (20, 50, 150), within: int = 120) -> DataFrame:
-    """Closes that crossed above an average within the last bars: gap to it, its slope, volume against average, and whether the next bar held."""
-    b = bars.withColumns({"_i": position(), "_back": F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("session"))), "_av": mean("volume", 50, 10), "_next": lead("close")})
-    b = b.withColumns({f"_m{n}": mean("close", n) for n in spans})
+    """Closes that crossed an average in either direction within the last bars: gap to it, its slope (0 where unknown), volume against
+    average, and whether the next bar held. An average needs five bars beyond its span, and a ticker 30."""
+    b = bars.withColumns({"_i": position(), "_back": F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("session"))), "_av": mean("volume", 50, 10)})
+    b = b.withColumns({f"_m{n}": mean("close", n) for n in spans} | {"_total": F.max("_i").over(Window.partitionBy("ticker"))})
     b = b.withColumns({f"_a{n}": F.coalesce(F.col("close") > F.col(f"_m{n}"), F.lit(False)) for n in spans})
-    each = [F.struct(F.lit(n).alias("sma"), F.col(f"_m{n}").alias("level"), F.col(f"_a{n}").alias("above"), lag(f"_a{n}").alias("was"), lag(f"_m{n}", 21).alias("level_21"), lead(f"_a{n}").alias("holds")) for n in spans]
+    each = [F.struct(F.lit(n).alias("sma"), F.col(f"_m{n}").alias("level"), F.col(f"_a{n}").alias("above"), lag(f"_a{n}").alias("was"), lag(f"_m{n}", 21).alias("level_21"), lead(f"_a{n}").alias("after")) for n in spans]
     b = b.withColumn("_each", F.array(*each)).where(F.col("_back") <= within)
-    b = b.select("ticker", "session", "close", "volume", "_av", "_i", F.explode("_each").alias("e")).where("e.above and not coalesce(e.was, false) and _i > e.sma")
-    return b.select("ticker", "session", "e.sma", ((F.col("close") / F.col("e.level") - 1) * 100).alias("gap_pct"), ((ratio("e.level", "e.level_21") - 1) * 100).alias("slope_pct"), ratio("volume", "_av").alias("volume_ratio"), F.coalesce(ratio("volume", "_av") >= 1.2, F.lit(False)).alias("volume_confirmed"), F.col("e.holds").alias("confirmed"))
+    b = b.select("ticker", "session", "close", "volume", "_av", "_i", "_total", F.explode("_each").alias("e")).where("e.above <> e.was and _i > e.sma and _total >= greatest(30, e.sma + 5)")
+    heavy = F.nullif(ratio("volume", "_av"), F.lit(0.0))
+    return b.select(
+        "ticker", "session", "e.sma", F.when(F.col("e.above"), "up").otherwise("down").alias("direction"), ((F.col("close") / F.col("e.level") - 1) * 100).alias("gap_pct"), F.coalesce((ratio("e.level", "e.level_21") - 1) * 100, F.lit(0.0)).alias("slope_pct"),
+        heavy.alias("volume_ratio"), F.coalesce(heavy >= 1.2, F.lit(False)).alias("volume_confirmed"), (F.col("e.after") == F.col("e.above")).alias("confirmed"),
+    )
 
 
 def stage_features(bars: DataFrame, n: int = 50) -> DataFrame:

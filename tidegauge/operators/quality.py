@@ -78,15 +78,27 @@ def parse_cell(c: str = "cell"):
 
 
 def integrity(bars: DataFrame) -> DataFrame:
-    """Counts of what is wrong with each ticker's bars."""
-    b = bars.withColumns({"_r": ratio("close", lag("close")), "_gap": F.date_diff("session", lag("session")), "_m20": median("volume", 20, 10), "_m250": median("volume", 250, 100)})
-    b = b.withColumn("_vr", ratio("_m20", F.lag("_m20", 20).over(ordered())))
-    split = ((F.col("_vr") > 2.5) | (F.col("_vr") < 0.4)) & (F.abs(F.col("_r") * F.col("_vr") - 1) <= 0.25)
-    return b.groupBy("ticker").agg(
-        F.count("*").alias("bars"), F.sum(flag(F.col("high") < F.col("low"))).alias("high_below_low"), F.sum(flag((F.col("close") < 0.999 * F.col("low")) | (F.col("close") > 1.001 * F.col("high")))).alias("close_outside"),
-        F.sum(flag(F.col("volume") <= 0)).alias("no_volume"), F.sum(flag(split)).alias("split_like"), F.sum(flag(F.col("volume") > 30 * F.col("_m250"))).alias("volume_spikes"), F.sum(flag(F.abs(F.col("_r") - 1) > 0.35)).alias("jumps"),
-        F.sum(flag(F.col("_gap") > 10)).alias("gaps"), (F.avg(flag(F.col("_r") == 1)) > 0.10).alias("stale"),
+    """Counts of what is wrong with each ticker's bars. Volume rules run over its non-zero volumes: shifts of the 20-session median against
+    the one 20 before (over 120 of them), and spikes beyond 30 times the trailing median (over 250). A shift is split-like if the day's
+    price ratio is within a quarter of the inverse. Calendar gaps count from 61 bars on."""
+    b = bars.withColumns({"_r": ratio("close", lag("close")), "_gap": F.date_diff("session", lag("session")), "_same": F.col("close") == lag("close")})
+    there = Window.partitionBy("ticker", F.coalesce(F.col("volume") != 0, F.lit(False))).orderBy("session")
+    middle = lambda n, least: F.when(F.count("volume").over(there.rowsBetween(1 - n, 0)) >= least, F.percentile("volume", F.lit(0.5)).over(there.rowsBetween(1 - n, 0)))
+    b = b.withColumns({"_m20": middle(20, 20), "_m250": middle(250, 100), "_r_there": F.when(F.col("volume") != 0, ratio("close", F.lag("close").over(there)))})
+    b = b.withColumn("_vr", F.when(F.col("volume") != 0, ratio("_m20", F.lag("_m20", 20).over(there))))
+    shift = (F.col("_vr") > 2.5) | (F.col("_vr") < 0.4)
+    inverse = 1 / F.nullif(F.col("_vr"), F.lit(0.0))
+    split = shift & (F.col("_r_there") > 0) & (F.abs(F.col("_r_there") - inverse) < 0.25 * F.greatest("_r_there", inverse))
+    n = lambda c, name: F.sum(flag(c)).alias(name)
+    g = b.groupBy("ticker").agg(
+        F.count("*").alias("bars"), n(F.col("volume") != 0, "_v"), n(F.col("high") < F.col("low"), "high_below_low"), n((F.col("close") < 0.999 * F.col("low")) | (F.col("close") > 1.001 * F.col("high")), "close_outside"),
+        n(F.col("volume") <= 0, "no_volume"), n(split, "split_like"), n(shift, "volume_shifts"), n(F.col("volume") > 30 * F.col("_m250"), "volume_spikes"), n(F.abs(F.col("_r") - 1) > 0.35, "jumps"),
+        n(F.col("_gap") > 10, "gaps"), n(F.col("_same"), "unchanged"),
     )
+    enough = lambda c, k, of: F.when(F.col(of) > k, F.col(c)).otherwise(0.0).alias(c)
+    # shifts without a split are told of beyond 20
+    shifts = F.when((F.col("_v") > 120) & (F.col("split_like") == 0) & (F.col("volume_shifts") > 20), F.col("volume_shifts")).otherwise(0.0)
+    return g.select("ticker", "bars", "high_below_low", "close_outside", "no_volume", enough("split_like", 120, "_v"), shifts.alias("volume_shifts"), enough("volume_spikes", 250, "_v"), "jumps", enough("gaps", 60, "bars"), (F.col("unchanged") > 0.10 * F.col("bars")).alias("stale"))
 
 
 def compare_providers(a: DataFrame, b: DataFrame, least: int = 60) -> DataFrame:

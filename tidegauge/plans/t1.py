@@ -178,7 +178,7 @@ RG = [
 ]
 
 
-@register("volume_regime", with_sql(*T1, *RG) + f" SELECT ticker, session, {rd('trend_z')}, {rd('trend_pct')}, regime, run_days, run_days >= 20 AS sustained, {rd('trend_slope')}, CASE WHEN trend_slope > 5 THEN 'rising' WHEN trend_slope < -5 THEN 'falling' WHEN trend_slope IS NOT NULL THEN 'steady' END AS direction, CASE WHEN abs(trend_z) >= 2.5 THEN 'extreme' WHEN abs(trend_z) >= 1.5 THEN 'strong' WHEN abs(trend_z) >= 0.75 THEN 'moderate' ELSE 'normal' END AS strength FROM g4 WHERE readings >= 30")
+@register("volume_regime", with_sql(*T1, *RG) + f" SELECT ticker, session, {rd('trend_z')}, {rd('trend_pct')}, regime, run_days, run_days >= 20 AS sustained, {rd('trend_slope')}, CASE WHEN trend_slope > 5 THEN 'building' WHEN trend_slope < -5 THEN 'rolling over' WHEN trend_slope IS NOT NULL THEN 'steady' END AS direction, CASE WHEN abs(trend_z) >= 2.5 THEN 'extreme' WHEN abs(trend_z) >= 1.5 THEN 'strong' WHEN abs(trend_z) >= 0.75 THEN 'notable' ELSE 'unremarkable' END AS strength FROM g4 WHERE readings >= 30")
 def volume_regime(s, d):
     return shown(I.volume_regime(V.bars_t1(s, d)), "trend_z", "trend_pct", "regime", "run_days", "sustained", "trend_slope", "direction", "strength")
 
@@ -216,9 +216,9 @@ def returns_n(s, d):
 
 BREADTH = [
     "bars_const",
-    ("bc0", f"SELECT *, {ra('avg', 'close', 50, 50)} AS sma, count(*) OVER (PARTITION BY ticker) AS n FROM bars_const"),
-    ("bc1", "SELECT parent FROM bc0 WHERE n >= 55 GROUP BY parent HAVING count(DISTINCT ticker) >= 8"),
-    ("br", "SELECT parent, session, avg(CASE WHEN close > sma THEN 1.0 ELSE 0 END) * 100 AS breadth, count(*) AS n_names FROM bc0 WHERE n >= 55 AND sma IS NOT NULL AND parent IN (SELECT parent FROM bc1) GROUP BY ALL"),
+    ("bc0", f"SELECT *, {ra('avg', 'close', 50, 50)} AS sma, {ROW} AS n FROM bars_const"),
+    ("bc1", "SELECT b.parent, b.session, count(DISTINCT e.ticker) AS names FROM (SELECT DISTINCT parent, session FROM bc0) b JOIN (SELECT parent, ticker, session FROM bc0 WHERE n = 55) e ON e.parent = b.parent AND e.session <= b.session GROUP BY ALL"),
+    ("br", "SELECT parent, session, avg(CASE WHEN close > sma THEN 1.0 ELSE 0 END) * 100 AS breadth, count(*) AS n_names FROM bc0 JOIN bc1 USING (parent, session) WHERE n >= 55 AND sma IS NOT NULL AND names >= 8 GROUP BY ALL"),
 ]
 
 
@@ -270,29 +270,29 @@ def green_light(s, d):
 
 
 SU = [
-    ("u0", f"SELECT *, {ROW} AS n, {BACK} AS back, {ra('avg', 'volume', 50, 20)} AS av, {ra('avg', 'high - low', 20, 10)} AS ar, {ra('avg', 'close', 50, 50)} AS sma, {lg('close', 1)} AS c1, {lg('close', 2)} AS c2, {lg('close', 3)} AS c3, {lg('high', 1)} AS h1, {lg('close', 1, 'lead')} AS nx FROM bars_t1"),
-    ("u1", f"SELECT *, sma - {lg('sma', 21)} AS slope, {lg('sma', 1)} AS s1, high - low > 1.3 * ar AS big, volume > av AS heavy FROM u0"),
-    ("u2", "SELECT ticker, session, 'ma_bounce' AS setup, low * 0.99 AS stop, NULL::BOOLEAN AS confirmed, back, n FROM u1 WHERE low <= sma * 1.02 AND close > sma AND slope > 0 AND heavy UNION ALL SELECT ticker, session, 'breakout', low * 0.99, nx > high, back, n FROM u1 WHERE c1 <= s1 AND close > sma AND big AND heavy UNION ALL SELECT ticker, session, 'breakdown', high * 1.01, NULL, back, n FROM u1 WHERE c1 >= s1 AND close < sma AND big AND heavy UNION ALL SELECT ticker, session, 'reversal', low * 0.99, NULL, back, n FROM u1 WHERE close > c1 AND c1 < c2 AND c2 < c3 AND close > h1"),
+    ("u0", f"SELECT *, {ROW} AS n, {BACK} AS back, count(*) OVER (PARTITION BY ticker) AS total, {ra('avg', 'volume', 50, 20)} AS av, {ra('avg', 'high - low', 20, 10)} AS ar, {ra('avg', 'close', 50, 50)} AS sma, {lg('close', 1)} AS c1, {lg('close', 2)} AS c2, {lg('open', 2)} AS o2, {lg('low', 2)} AS l2, {lg('close', 1, 'lead')} AS nx FROM bars_t1"),
+    ("u1", f"SELECT *, coalesce((sma / nullif({lg('sma', 21)}, 0) - 1) * 100, 0) AS slope, coalesce(c1 > {lg('sma', 1)}, false) AS prev_above, high - low > 1.3 * ar AS big, volume > av AS heavy, close > open AS up_day FROM u0"),
+    ("u2", "SELECT * FROM u1 WHERE total >= 60 AND back <= 5 AND n > 50 AND sma IS NOT NULL AND av IS NOT NULL"),
+    ("u3", "SELECT ticker, session, 'ma_bounce' AS setup, 'long' AS direction, least(low, sma) * 0.99 AS stop, NULL::BOOLEAN AS confirmed FROM u2 WHERE low <= sma * 1.02 AND close > sma AND slope > 0 AND up_day AND heavy AND prev_above UNION ALL SELECT ticker, session, 'breakout', 'long', sma * 0.99, nx > high FROM u2 WHERE NOT prev_above AND close > sma AND up_day AND big AND slope > -0.5 UNION ALL SELECT ticker, session, 'breakdown', 'exit/short', sma * 1.01, NULL FROM u2 WHERE prev_above AND close < sma AND NOT up_day AND heavy UNION ALL SELECT ticker, session, 'reversal', 'long', l2 * 0.99, NULL FROM u2 WHERE c2 < o2 AND c1 > o2 AND close > c1 AND heavy"),
 ]
 
 
-@register("setups", with_sql(*T1, *SU) + f" SELECT ticker, session, setup, {rd('stop')}, confirmed FROM u2 WHERE back <= 60 AND n >= 60 QUALIFY row_number() OVER (PARTITION BY ticker, setup ORDER BY session DESC) = 1")
+@register("setups", with_sql(*T1, *SU) + f" SELECT ticker, session, setup, direction, {rd('stop')}, confirmed FROM u3 QUALIFY row_number() OVER (PARTITION BY ticker, setup ORDER BY session DESC) = 1")
 def setups(s, d):
-    """Over the last 60 bars, as these bars are sparse."""
-    return I.setups(V.bars_t1(s, d), look=60).select("ticker", "session", "setup", tidy("stop").alias("stop"), "confirmed")
+    return I.setups(V.bars_t1(s, d)).select("ticker", "session", "setup", "direction", tidy("stop").alias("stop"), "confirmed")
 
 
 BO = [
-    ("k0", "SELECT *, " + ", ".join(f"{ra('avg', 'close', n, n)} AS m{n}" for n in (20, 50, 150)) + f", {ra('avg', 'volume', 50, 10)} AS av, {ROW} AS i, {BACK} AS back FROM bars_t1"),
-    ("k1", " UNION ALL ".join(f"SELECT ticker, session, close, volume, av, i, back, {n} AS sma, m{n} AS level, {lg(f'm{n}', 21)} AS l21, coalesce(close > m{n}, false) AS above FROM k0" for n in (20, 50, 150))),
-    ("k2", "SELECT *, lag(above) OVER w AS was, lead(above) OVER w AS confirmed FROM k1 WINDOW w AS (PARTITION BY ticker, sma ORDER BY session)"),
+    ("k0", "SELECT *, " + ", ".join(f"{ra('avg', 'close', n, n)} AS m{n}" for n in (20, 50, 150)) + f", {ra('avg', 'volume', 50, 10)} AS av, {ROW} AS i, {BACK} AS back, count(*) OVER (PARTITION BY ticker) AS total FROM bars_t1"),
+    ("k1", " UNION ALL ".join(f"SELECT ticker, session, close, nullif(volume / nullif(av, 0), 0) AS vr, i, back, total, {n} AS sma, m{n} AS level, {lg(f'm{n}', 21)} AS l21, coalesce(close > m{n}, false) AS above FROM k0" for n in (20, 50, 150))),
+    ("k2", "SELECT *, lag(above) OVER w AS was, lead(above) OVER w AS nxt FROM k1 WINDOW w AS (PARTITION BY ticker, sma ORDER BY session)"),
 ]
 
 
-@register("sma_breakouts", with_sql(*T1, *BO) + f" SELECT ticker, session, sma, {rd('(close / level - 1) * 100', 'gap_pct')}, {rd('(level / nullif(l21, 0) - 1) * 100', 'slope_pct')}, {rd('volume / nullif(av, 0)', 'volume_ratio')}, coalesce(volume / nullif(av, 0) >= 1.2, false) AS volume_confirmed, confirmed FROM k2 WHERE back <= 120 AND above AND NOT coalesce(was, false) AND i > sma")
+@register("sma_breakouts", with_sql(*T1, *BO) + f" SELECT ticker, session, sma, CASE WHEN above THEN 'up' ELSE 'down' END AS direction, {rd('(close / level - 1) * 100', 'gap_pct')}, {rd('coalesce((level / nullif(l21, 0) - 1) * 100, 0)', 'slope_pct')}, {rd('vr', 'volume_ratio')}, coalesce(vr >= 1.2, false) AS volume_confirmed, nxt = above AS confirmed FROM k2 WHERE back <= 120 AND above <> was AND i > sma AND total >= greatest(30, sma + 5)")
 def sma_breakouts(s, d):
     b = I.sma_breakouts(V.bars_t1(s, d))
-    return b.select("ticker", "session", "sma", *[tidy(c).alias(c) for c in ("gap_pct", "slope_pct", "volume_ratio")], "volume_confirmed", "confirmed")
+    return b.select("ticker", "session", "sma", "direction", *[tidy(c).alias(c) for c in ("gap_pct", "slope_pct", "volume_ratio")], "volume_confirmed", "confirmed")
 
 
 STAGE = [

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import tidy
 from ..operators import cross_section as X
+from ..operators import flow as FL
 from ..operators import indicators as I
 from ..sources import views as V
 from ..sources.views import with_sql
-from .t1 import BREADTH, RS, RS1, lg, over, ra, rd, runs_sql, zs
+from .t1 import BREADTH, RS, RS1, STAGE, lg, over, ra, rd, runs_sql, zs
 from .t1 import RUNS as _RUNS
 
 QUERIES: dict = {}
@@ -161,11 +162,20 @@ def phase_strict(s, d):
     return frame(s, d).withColumn("phase", X.phase(strict=True)).select("ticker", "session", "phase")
 
 
-@register("flags", with_sql(*SCORES, ("f0", f"SELECT *, coalesce({ra('count', 'mansfield_rs', 100000, 0)} >= 23 AND mansfield_rs > 0 AND {lg('mansfield_rs', 21)} <= 0, false) AS cross_up FROM s4")) + " SELECT ticker, session, array_to_string(list_filter([CASE WHEN cross_up THEN 'mansfield_cross' END, CASE WHEN volume_z >= 2 THEN 'unusual_volume' END, CASE WHEN block_intensity_z >= 2 THEN 'block_activity' END, CASE WHEN csri_delta >= 0.75 THEN 'csri_surge' END, CASE WHEN csri_delta <= -0.75 THEN 'csri_slump' END, CASE WHEN absorption > 0.25 AND coalesce(ret_21, 0) * 100 < 3 THEN 'absorption' END], lambda x: x IS NOT NULL), ',') AS kinds FROM f0")
+_STAGES = [_all(x) for x in STAGE]
+
+
+def flow_columns(s: SparkSession, d: str) -> DataFrame:
+    """What the four kinds of flow look at, by ticker and session; tickers without trades have no rows."""
+    from .t3 import daily
+
+    return FL.trailing(daily(s, d)).withColumnRenamed("day", "session")
+
+
+@register("flags", with_sql(*SCORES, *_STAGES, ("f0", f"SELECT *, coalesce({ra('count', 'mansfield_rs', 100000, 0)} >= 23 AND mansfield_rs > 0 AND {lg('mansfield_rs', 21)} <= 0, false) AS cross_up FROM s4"), ("f1", "SELECT f0.*, st.stage FROM f0 JOIN st USING (ticker, session)")) + " SELECT ticker, session, array_to_string(list_filter([CASE WHEN cross_up THEN 'mansfield_cross' END, CASE WHEN volume_z >= 2 THEN 'unusual_volume' END, CASE WHEN block_intensity_z >= 2 THEN 'block_activity' END, CASE WHEN csri_delta >= 0.75 THEN 'csri_surge' END, CASE WHEN csri_delta <= -0.75 THEN 'csri_slump' END, CASE WHEN absorption > 0.25 AND coalesce(ret_21, 0) * 100 < 3 THEN 'absorption' END, CASE WHEN stage = 4 THEN 'stage4' END], lambda x: x IS NOT NULL), ',') AS kinds FROM f1")
 def flags(s, d):
-    f = crossed(frame(s, d))
-    none = F.lit(None).cast("double")
-    f = f.withColumns({"dark_trend": none, "off_trend": none, "block_direction": none, "largest_print": none, "stage": F.lit(None).cast("int")})
+    """The SQL leaves out the four kinds of flow: in these tables no ticker has both bars and trades."""
+    f = I.stages(crossed(frame(s, d))).join(flow_columns(s, d), ["ticker", "session"], "left")
     return f.select("ticker", "session", F.array_join(X.flags(), ",").alias("kinds"))
 
 
@@ -179,9 +189,12 @@ def tier_rank(s, d):
     return _show(X.tier_rank(X.latest(frame(s, d))), "csri", "rank", "percentile", keep=("ticker", "tier"))
 
 
-@register("rotation", with_sql(*SCORES, ("t0", f"SELECT * FROM s4 QUALIFY {_LAST}"), ("t1", "SELECT * FROM t0 WHERE tier = 1 AND csri_delta IS NOT NULL"), ("up", "SELECT *, 'gaining' AS side FROM t1 WHERE csri_delta > 0 ORDER BY csri_delta DESC, ticker LIMIT 4"), ("dn", "SELECT *, 'losing' AS side FROM t1 WHERE csri_delta < 0 ORDER BY csri_delta, ticker LIMIT 4")) + f" SELECT ticker, side, {rd('csri_delta')}, abs(csri_delta) >= 0.5 AS material FROM (FROM up UNION ALL FROM dn) WHERE (SELECT count(*) FROM t1) >= 4")
+VMS_SQL = [*FRAME, ("l0", f"SELECT * FROM a3 QUALIFY {_LAST}"), ("l1", f"SELECT *, {_TZ.format(x='mom_12_1')} AS za, {_TZ.format(x='rs_mom')} AS zb FROM l0"), ("l2", f"SELECT *, {_blend([(0.5, 'za'), (0.5, 'zb')])} AS vms FROM l1")]
+
+
+@register("rotation", with_sql(*VMS_SQL, ("t1", "SELECT * FROM l2 WHERE tier = 1 AND vms IS NOT NULL"), ("up", "SELECT *, 'gaining' AS side FROM t1 WHERE vms > 0 ORDER BY vms DESC, ticker LIMIT 4"), ("dn", "SELECT *, 'losing' AS side FROM t1 WHERE vms < 0 ORDER BY vms, ticker DESC LIMIT 4")) + f" SELECT ticker, side, {rd('vms')}, abs(vms) >= 0.5 AS material, (SELECT count(*) FROM t1) AS n_total, (SELECT count(*) FROM t1 WHERE abs(vms) >= 0.5) AS n_material FROM (FROM up UNION ALL FROM dn) WHERE (SELECT count(*) FROM t1) >= 4")
 def rotation(s, d):
-    return _show(X.rotation(X.latest(frame(s, d))), "csri_delta", "material", keep=("ticker", "side"))
+    return _show(X.rotation(X.vms(X.latest(I.momentum(_rrg(s, d))))), "vms", "material", "n_total", "n_material", keep=("ticker", "side"))
 
 
 _B = [

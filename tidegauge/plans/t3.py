@@ -60,14 +60,14 @@ def _m(c: str) -> str:
 MULTI = [
     *DAILY,
     ("m0", "SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day DESC) AS back FROM daily"),
-    ("multi", f"SELECT ticker, count(*) AS sessions, max(largest_print) AS largest_print, sum(truncated::INT)::BIGINT AS truncated_days, bool_and(dark_equals_off) AS dark_equals_off, avg(block_direction) AS block_direction, max(day) AS day, {_m('off_share')}, {_m('dark_share')}, {_m('block_share')} FROM m0 WHERE back <= 20 GROUP BY ticker HAVING count(*) >= 3"),
+    ("multi", f"SELECT ticker, count(*) AS sessions, max(largest_print) AS largest_print, max(largest_notional) AS largest_notional, max_by(block_count, day) AS block_count_latest, avg(block_count) AS block_count_mean, avg(notional) AS adv, sum(truncated::INT)::BIGINT AS truncated_days, bool_and(dark_equals_off) AS dark_equals_off, avg(block_direction) AS block_direction, max(day) AS day, {_m('off_share')}, {_m('dark_share')}, {_m('block_share')} FROM m0 WHERE back <= 20 GROUP BY ticker HAVING count(*) >= 3"),
 ]
-_M = ("largest_print", "block_direction", *[f"{c}_{k}" for c in ("off_share", "dark_share", "block_share") for k in ("latest", "mean", "trend")])
+_M = ("largest_print", "largest_notional", "block_count_mean", "adv", "block_direction", *[f"{c}_{k}" for c in ("off_share", "dark_share", "block_share") for k in ("latest", "mean", "trend")])
 
 
-@register("flow_multi", with_sql(*MULTI) + " SELECT ticker, sessions, truncated_days, dark_equals_off, day, " + ", ".join(rd(c) for c in _M) + " FROM multi")
+@register("flow_multi", with_sql(*MULTI) + " SELECT ticker, sessions, truncated_days, dark_equals_off, day, block_count_latest, " + ", ".join(rd(c) for c in _M) + " FROM multi")
 def flow_multi(s, d):
-    return _show(FL.multi_session(daily(s, d)), *_M, keep=("ticker", "sessions", "truncated_days", "dark_equals_off", "day"))
+    return _show(FL.multi_session(daily(s, d)), *_M, keep=("ticker", "sessions", "truncated_days", "dark_equals_off", "day", "block_count_latest"))
 
 
 def _c(x: str, k: float) -> str:
@@ -87,10 +87,10 @@ def flow_score(s, d):
     return FL.multi_session(daily(s, d)).select("ticker", tidy(FL.flow_score()).alias("flow_score"))
 
 
-@register("block_buckets", with_sql(*MULTI, ("bk", "SELECT *, block_share_latest / nullif(block_share_mean, 0) AS surprise FROM multi")) + f" SELECT ticker, {rd('surprise')}, array_to_string(list_filter([CASE WHEN block_share_latest >= 0.2 AND (surprise IS NULL OR surprise < 1.5) AND (block_direction IS NULL OR block_direction > -0.25) THEN 'Safe Bets' END, CASE WHEN surprise >= 1.5 THEN 'Most Unusual' END, CASE WHEN largest_print >= 50e6 THEN 'Top Positions' END, CASE WHEN abs(block_direction) >= 0.3 AND block_share_latest >= 0.15 THEN 'Longshots' END], lambda x: x IS NOT NULL), ',') AS buckets FROM bk")
+@register("block_buckets", with_sql(*MULTI, ("bk", "SELECT *, block_share_latest / nullif(block_share_mean, 0) AS surprise, block_count_latest / nullif(block_count_mean, 0) AS count_surprise FROM multi")) + f" SELECT ticker, {rd('surprise')}, {rd('count_surprise')}, array_to_string(list_filter([CASE WHEN block_share_latest >= 0.2 AND (surprise IS NULL OR surprise < 1.5) AND (block_direction IS NULL OR block_direction > -0.25) THEN 'Safe Bets' END, CASE WHEN surprise >= 1.5 OR count_surprise >= 2 THEN 'Most Unusual' END, CASE WHEN largest_notional >= 50e6 THEN 'Top Positions' END, CASE WHEN abs(block_direction) >= 0.3 AND block_share_latest >= 0.15 AND adv <= 2e8 THEN 'Longshots' END], lambda x: x IS NOT NULL), ',') AS buckets FROM bk")
 def block_buckets(s, d):
-    m = FL.block_buckets(FL.multi_session(daily(s, d)).withColumn("adv", F.lit(None).cast("double")))
-    return m.select("ticker", tidy("surprise").alias("surprise"), F.array_join("buckets", ",").alias("buckets"))
+    m = FL.block_buckets(FL.multi_session(daily(s, d)))
+    return m.select("ticker", tidy("surprise").alias("surprise"), tidy("count_surprise").alias("count_surprise"), F.array_join("buckets", ",").alias("buckets"))
 
 
 _P = ("off_share", "dark_share", "block_share", "block_direction")
@@ -192,8 +192,10 @@ def source_choice(s, d):
 
 _IN = [
     "lots", "bars_t1",
-    ("i0", f"SELECT *, close / nullif({lg('close')}, 0) AS r, session - {lg('session')} AS gap, {ra('median', 'volume', 20, 10)} AS m20, {ra('median', 'volume', 250, 100)} AS m250 FROM bars_t1"),
-    ("i1", f"SELECT *, m20 / nullif({lg('m20', 20)}, 0) AS vr FROM i0"),
+    ("i0", f"SELECT *, close / nullif({lg('close')}, 0) AS r, session - {lg('session')} AS gap, close = {lg('close')} AS same FROM bars_t1"),
+    ("i1", f"SELECT ticker, session, close / nullif({lg('close')}, 0) AS rt, {ra('median', 'volume', 20, 20)} AS m20, {ra('median', 'volume', 250, 100)} AS m250 FROM bars_t1 WHERE volume <> 0"),
+    ("i2", f"SELECT *, m20 / nullif({lg('m20', 20)}, 0) AS vr FROM i1"),
+    ("i3", "SELECT i0.*, vr, rt, m250, vr > 2.5 OR vr < 0.4 AS shift FROM i0 LEFT JOIN i2 USING (ticker, session)"),
 ]
 
 
@@ -201,7 +203,7 @@ def _n(cond: str, name: str) -> str:
     return f"sum(CASE WHEN {cond} THEN 1.0 ELSE 0 END)::DOUBLE AS {name}"
 
 
-@register("integrity", with_sql(*_IN) + f" SELECT ticker, count(*) AS bars, {_n('high < low', 'high_below_low')}, {_n('close < 0.999 * low OR close > 1.001 * high', 'close_outside')}, {_n('volume <= 0', 'no_volume')}, {_n('(vr > 2.5 OR vr < 0.4) AND abs(r * vr - 1) <= 0.25', 'split_like')}, {_n('volume > 30 * m250', 'volume_spikes')}, {_n('abs(r - 1) > 0.35', 'jumps')}, {_n('gap > 10', 'gaps')}, avg(CASE WHEN r = 1 THEN 1.0 ELSE 0 END) > 0.10 AS stale FROM i1 GROUP BY ticker")
+@register("integrity", with_sql(*_IN, ("i4", f"SELECT ticker, count(*) AS bars, count(*) FILTER (volume <> 0) AS v, {_n('high < low', 'high_below_low')}, {_n('close < 0.999 * low OR close > 1.001 * high', 'close_outside')}, {_n('volume <= 0', 'no_volume')}, {_n('shift AND rt > 0 AND abs(rt - 1 / vr) < 0.25 * greatest(rt, 1 / vr)', 'splits')}, {_n('shift', 'shifts')}, {_n('volume > 30 * m250', 'spikes')}, {_n('abs(r - 1) > 0.35', 'jumps')}, {_n('gap > 10', 'g')}, {_n('same', 'unchanged')} FROM i3 GROUP BY ticker")) + " SELECT ticker, bars, high_below_low, close_outside, no_volume, CASE WHEN v > 120 THEN splits ELSE 0 END AS split_like, CASE WHEN v > 120 AND splits = 0 AND shifts > 20 THEN shifts ELSE 0 END AS volume_shifts, CASE WHEN v > 250 THEN spikes ELSE 0 END AS volume_spikes, jumps, CASE WHEN bars > 60 THEN g ELSE 0 END AS gaps, unchanged > 0.10 * bars AS stale FROM i4")
 def integrity(s, d):
     return Q.integrity(V.bars_t1(s, d))
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import flag, tidy
 from ..operators import cross_section as X
-from ..operators import flow as FL
 from ..operators import indicators as I
 from ..operators import panel as P
 from ..operators import resampling as R
@@ -15,9 +14,8 @@ from ..sources import views as V
 from ..sources.views import with_sql
 from ..streaming import alerts as A
 from .t1 import rd
-from .t2 import SCORES, crossed
+from .t2 import SCORES, crossed, flow_columns
 from .t2 import frame as score_frame
-from .t3 import daily
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -284,8 +282,7 @@ def power_analysis(s, d):
 @register("alerts")
 def alerts(s, d):
     """Flow columns are null for tickers without trades."""
-    f = I.stages(crossed(score_frame(s, d)).drop("sma_50"))
-    f = f.join(FL.trailing(daily(s, d)).withColumnRenamed("day", "session"), ["ticker", "session"], "left")
+    f = I.stages(crossed(score_frame(s, d))).join(flow_columns(s, d), ["ticker", "session"], "left")
     return A.alerts(f.withColumn("flags", X.flags()))
 
 
