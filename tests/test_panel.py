@@ -53,17 +53,34 @@ def test_outliers(spark):
     assert got == {"plain": False, "spiked": True}
 
 
-def test_clean_panel_has_no_red_flags(spark):
+def raised(o, e=None):
+    return [r["check"] for r in P.red_flags(o, P.episodes(o) if e is None else e).collect() if r["raised"]]
+
+
+def test_red_flags(spark):
+    """A clean panel has none but short episodes (phases rotate at every date here); each fault raises its own."""
     o = panel(spark)
-    assert not [r["check"] for r in P.red_flags(o).collect() if r["raised"]]
-    doubled = o.union(o.limit(5))
-    assert [r["check"] for r in P.red_flags(doubled).collect() if r["raised"]] == ["duplicates"]
-    assert "concentration" in [r["check"] for r in P.red_flags(o.withColumn("phase", F.lit("NEUTRAL"))).collect() if r["raised"]]
+    short = "episodes of one observation"
+    assert raised(o) == [short]
+    assert raised(o.union(o.limit(5)), P.episodes(o)) == ["duplicates", short]
+    one = raised(o.withColumn("phase", F.lit("NEUTRAL")))
+    assert "concentration" in one and "few phases" in one and short not in one
+    assert "constant z_a" in raised(o.withColumn("z_a", F.lit(1.0)))
+    assert "missing fwd_63" in raised(o.withColumn("fwd_63", F.when(F.col("ticker") != "T0", F.col("fwd_63"))))
+    assert "hit rate at boundary 21" in raised(o.withColumn("fwd_21", F.abs("fwd_21") + 0.1))
+    assert "identical means 21" in raised(o.withColumn("fwd_21", F.lit(1.0)))
+    steps = F.element_at(F.create_map(*[x for k, p in enumerate(("CONFIRMED_BREAKOUT", "NEUTRAL", "CAPITAL_FLIGHT")) for x in (F.lit(p), F.lit(3.0 - k))]), F.col("phase"))
+    four = o.withColumn("fwd_21", F.when((F.col("ticker") == "T5"), 0.0).otherwise(steps)).withColumn("phase", F.when(F.col("ticker") == "T5", "DISTRIBUTION").otherwise(F.col("phase")))
+    assert "too clean 21" not in raised(four)
+    even = four.withColumn("fwd_21", F.element_at(F.create_map(*[x for k, p in enumerate(P.IN_ORDER) if p != "STEALTH_ACCUMULATION" for x in (F.lit(p), F.lit(float(-k if k else -1.0)))]), F.col("phase")))
+    assert "too clean 21" in raised(even)
+    assert raised(o.limit(0)) == ["empty"]
 
 
 @pytest.mark.parametrize(("names", "buckets"), [(29, 5), (11, 3), (5, 2)])
 def test_buckets_follow_the_cross_section(spark, names, buckets):
-    assert P.score_buckets(panel(spark, 30, names)).count() == buckets
+    assert P.score_buckets(panel(spark, 60, names)).count() == buckets
+    assert P.score_buckets(panel(spark, 2, names)).count() == 0
 
 
 def test_episodes_and_transitions(spark):
@@ -80,12 +97,58 @@ def test_benjamini_hochberg(spark):
     assert got == pytest.approx([0.04, 0.04 * 4 / 3, 0.04 * 4 / 3, 0.5])
 
 
-def test_turnover_of_a_reversed_book(spark):
-    rows = [(date(2020, 1, 6) + timedelta(weeks=i), f"T{j}", 1, "x", float(j if i != 1 else -j), 0.0, 1.0, 0.0, 0.0, 0.0) for i in range(3) for j in range(6)]
-    o = spark.createDataFrame(rows, OBS)
-    assert [r["turnover"] for r in P.portfolio(o).orderBy("date").collect()] == pytest.approx([2.0, 4.0, 4.0])
-    still = o.withColumn("csri", F.abs("csri"))
-    assert [r["turnover"] for r in P.portfolio(still).orderBy("date").collect()] == pytest.approx([2.0, 0.0, 0.0])
+def book(spark, dates=40, names=6, flip=True):
+    rows = [(date(2020, 1, 6) + timedelta(weeks=i), f"T{j}", 1, "x", float(-j if flip and i % 2 else j), 0.0, float(j), 0.0, 0.0, 0.0) for i in range(dates) for j in range(names)]
+    return spark.createDataFrame(rows, OBS)
+
+
+def test_portfolio(spark):
+    """Two of six names a side: a book that reverses trades four times its side, one that stands trades nothing; a half of each spread counts."""
+    got = P.portfolio(book(spark)).orderBy("date").collect()
+    assert [r["turnover"] for r in got] == pytest.approx([2.0] + [4.0] * 39) and [r["gross"] for r in got] == pytest.approx([2.0, -2.0] * 20)
+    assert [r["net"] for r in got[:2]] == pytest.approx([2.0 - 0.1, -2.0 - 0.2])
+    still = P.portfolio(book(spark, flip=False))
+    assert [r["turnover"] for r in still.orderBy("date").collect()] == pytest.approx([2.0] + [0.0] * 39)
+    assert P.portfolio(book(spark, 30)).count() == 0 and P.portfolio(book(spark, 9, 40)).count() == 0  # too few rows, too few dates
+    p = P.performance(still).first()
+    assert p["max_drawdown"] == pytest.approx(0.0) and p["net_annualised"] == pytest.approx(12 * (2.0 - 0.1 / 40)) and p["hit"] == 100 and p["survives_costs"]
+    fall = spark.createDataFrame([(date(2020, 1, 1), -10.0, -10.0, 1.0), (date(2020, 2, 1), 5.0, 5.0, 1.0), (date(2020, 3, 1), -50.0, -50.0, 1.0)], "date date, gross double, net double, turnover double")
+    assert P.performance(fall).first()["max_drawdown"] == pytest.approx(-50.0)  # from the highest point so far, not from the start
+
+
+def test_costed_portfolio(spark):
+    got = P.costed_portfolio(book(spark)).orderBy("date").collect()
+    assert [r["churn"] for r in got] == [1.0] + [0.0] * 39  # the same two names change sides
+    assert [r["gross"] for r in got[:2]] == pytest.approx([2.5, -2.5]) and got[0]["net"] == pytest.approx(2.5 - 0.05)
+    s = P.book_summary(P.costed_portfolio(book(spark, flip=False))).first()
+    assert s["rebalances"] == 40 and s["net_ann"] == pytest.approx(12 * (2.5 - 0.05 / 40))
+
+
+def test_subperiods_shrink_with_the_sample(spark):
+    e = P.episodes(panel(spark, 60, 8))
+    assert P.subperiods(e).count() == 4 and P.subperiods(e.orderBy("start", "ticker").limit(60)).count() == 2
+    r = P.subperiods(e).orderBy("period").first()
+    assert r["episodes"] in (120, 121) and r["spread"] == pytest.approx(r["mean_a"] - r["mean_b"])
+
+
+def test_observations_take_the_last_bar_up_to_the_date(spark):
+    """T1 has no bar on the rebalance date: its last one stands for it, with its own sessions ahead."""
+    days = [date(2020, 1, 1) + timedelta(days=i) for i in range(20)]
+    bench = spark.createDataFrame([(d, 100.0) for d in days], "session date, close double")
+    rows = [(f"T{j}", d, float(100 + i * (j + 1)), i + 1) for j in range(3) for i, d in enumerate(days) if not (j == 1 and i == 10)]
+    bars = spark.createDataFrame(rows, "ticker string, session date, close double, n_bars int")
+    o = P.observations(bars, bench, step=5, warmup=5, horizons=(2,), least_bars=1, least_names=1)
+    got = {(r["ticker"], r["date"]): r["fwd_2"] for r in o.collect()}
+    assert {d for _, d in got} == {days[5], days[10], days[15]} and len(got) == 9
+    assert got["T0", days[10]] == pytest.approx((112 / 110 - 1) * 100) and got["T1", days[10]] == pytest.approx((124 / 118 - 1) * 100)
+
+
+def test_study_of_models(spark):
+    """A score that is the return wins on every count; noise doesn't."""
+    o = panel(spark, 60, 10).withColumns({"fwd_10": F.col("fwd_21"), "fwd_42": F.col("fwd_21")})
+    got = {r["model"]: r for r in P.model_study(o, {"base": F.col("z_a"), "even": F.col("csri"), "oracle": F.col("fwd_21")}, "base", "even").collect()}
+    w = got["oracle"]
+    assert w["adopt"] and w["ic_holdout"] == pytest.approx(1.0) and w["positive"] == 5 and w["sign_stable"] and not got["base"]["adopt"] and not got["base"]["sign_stable"]
 
 
 def test_missing_parts_leave_their_weight_to_the_others(spark):
@@ -113,7 +176,8 @@ def test_weights_and_evaluation(spark):
     best = R.fit_weights(o, ("z_a", "z_b"), draws=20).where("place = 1").first()
     assert best["w_z_a"] > 0.5 and best["test"] > 0.5
     v = R.evaluate(o, P.episodes(o))
-    assert v["spread_verdict"] == "POSITIVE" and v["verdict"] in ("KILL", "UNDERPOWERED", "MARGINAL", "FAIL", "PASS") and v["confidence"] in ("HIGH", "MEDIUM", "LOW")
+    # the spread is there, but 60 dates are too few to conclude anything
+    assert (v["spread_verdict"], v["verdict"], v["dates"]) == ("POSITIVE", "UNDERPOWERED", 60) and not v["kills"]
 
 
 def test_resampling_queries_run_the_full_number(monkeypatch):
@@ -140,7 +204,7 @@ def test_power():
 
 
 def test_verdicts():
-    assert R.verdict({})["verdict"] == "UNDERPOWERED" or R.verdict({})["verdict"] == "FAIL"
+    assert R.verdict({})["verdict"] == "UNDERPOWERED"
     assert R.verdict({"spread_verdict": "INVERTED"})["verdict"] == "KILL"
     assert R.verdict({"spread_verdict": "NO_EDGE", "power": 0.9})["verdict"] == "KILL"
 

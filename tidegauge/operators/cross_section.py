@@ -187,7 +187,7 @@ def tilt(last: DataFrame, cyclical: list[str], defensive: list[str], band: float
 def score_frame(bars: DataFrame, bench: DataFrame, breadth: DataFrame | None = None) -> DataFrame:
     """Everything above by (ticker, session), from bars with a tier, the benchmark's bars and breadth (ticker, session, breadth)."""
     f = I.rrg_raw(I.mansfield(I.relative_strength(bars, bench)))
-    f = I.block_intensity(I.absorption(I.ad_balance(I.money_flow(I.momentum(I.returns(f, (21,)))))))
+    f = I.block_intensity(I.absorption(I.ad_balance(I.money_flow(I.momentum(I.momentum(I.returns(f, (21,))), 126, 21, "mom_6_1")))))
     f = f.join(breadth, ["ticker", "session"], "left") if breadth is not None else f.withColumn("breadth", F.lit(None).cast("double"))
     f = rrg_normalise(f, {"rs_ratio_raw": "rs_ratio", "rs_mom_raw": "rs_mom"})
     f = csri(footprint(f)).withColumn("quadrant", quadrant())

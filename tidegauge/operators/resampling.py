@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import panel as P
@@ -32,23 +32,36 @@ def _block_means(g: DataFrame, block: int, reps: int, seed: int, v: str = "v", o
     return g.withColumn(out, F.aggregate(picked, F.lit(0.0), lambda s, x: s + x) / n)
 
 
+def block_for(horizon: int, step: int) -> int:
+    """Observations a block: twice as many as overlap in a horizon, and 8 at least."""
+    return max(8, 2 * math.ceil(horizon / max(step, 1)))
+
+
+def _share_beyond(m: str, observed: Column) -> Column:
+    """Of an array of replicates, centred on their own mean: the share at least as far from 0 as what was observed."""
+    middle = F.aggregate(m, F.lit(0.0), lambda s, x: s + x) / F.size(m)
+    return F.size(F.filter(F.transform(m, lambda x: x - middle), lambda x: F.abs(x) >= F.abs(observed))) / F.size(m)
+
+
 def bootstrap_mean(x: DataFrame, *keys: str, value: str = "x", order: tuple[str, ...] = ("date",), block: int = 8, reps: int = 5000, seed: int = SEED, least: int = 8) -> DataFrame:
     """By group: mean, 95 % interval, and the share of centred replicates at least as far from 0 as the mean (null under least values)."""
     g = _values(x, keys, value, order)
-    r = _block_means(g, block, reps, seed).groupBy(*keys).agg(F.first("mean").alias("mean"), F.first("n").alias("n"), F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((F.abs(F.col("m") - F.col("mean")) >= F.abs("mean")).cast("double")).alias("p"))
+    r = _block_means(g, block, reps, seed).groupBy(*keys).agg(F.first("mean").alias("mean"), F.first("n").alias("n"), F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.collect_list("m").alias("m"))
+    r = r.withColumn("p", _share_beyond("m", F.col("mean")))
     return r.select(*keys, "n", "mean", F.when(F.col("n") >= least, F.col("q")[0]).alias("low"), F.when(F.col("n") >= least, F.col("q")[1]).alias("high"), F.when(F.col("n") >= least, F.col("p")).alias("p"))
 
 
-def spread_test(eps: DataFrame, a: str, b: str, y: str = "fwd_21", block: int = 8, reps: int = 4000, seed: int = SEED) -> DataFrame:
-    """The difference of two phases' mean returns with its bootstrap interval, and the verdict."""
+def spread_test(eps: DataFrame, a: str, b: str, y: str = "fwd_21", block: int | None = None, reps: int = 4000, seed: int = SEED, horizon: int = 21, step: int = P.STEP) -> DataFrame:
+    """The difference of two phases' mean returns with its bootstrap interval, and the verdict, which goes by p."""
+    block = block or block_for(horizon, step)
     legs = [_values(eps.where(F.col("phase") == p), (), y, ("start", "ticker")).select(F.col("v").alias(n), F.col("mean").alias(f"m{n}"), F.col("n").alias(f"n{n}")) for n, p in (("a", a), ("b", b))]
     g = legs[0].crossJoin(F.broadcast(legs[1]))  # one row each
     g = _block_means(_block_means(g, block, reps, seed, "a", "ra"), block, reps, seed + 1, "b", "rb")
-    r = g.groupBy("ma", "mb", "na", "nb").agg(F.percentile(F.col("ra") - F.col("rb"), F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((F.abs(F.col("ra") - F.col("rb") - (F.col("ma") - F.col("mb"))) >= F.abs(F.col("ma") - F.col("mb"))).cast("double")).alias("p"))
-    r = r.select("na", "nb", (F.col("ma") - F.col("mb")).alias("spread"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "p")
+    r = g.groupBy("ma", "mb", "na", "nb").agg(F.percentile(F.col("ra") - F.col("rb"), F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.collect_list(F.col("ra") - F.col("rb")).alias("m"))
+    r = r.withColumn("p", _share_beyond("m", F.col("ma") - F.col("mb"))).select("na", "nb", (F.col("ma") - F.col("mb")).alias("spread"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "p")
     enough = F.least("na", "nb") >= 8
     flat = (F.least("na", "nb") >= 50) & (F.col("high") - F.col("low") < 1) & (F.abs("spread") < 0.25)
-    return r.withColumn("verdict", F.when(~enough, "UNDERPOWERED").when(F.col("low") > 0, "POSITIVE").when(F.col("high") < 0, "INVERTED").when(flat, "NO_EDGE").otherwise("UNDERPOWERED"))
+    return r.withColumn("verdict", F.when(~enough, "UNDERPOWERED").when((F.col("p") < 0.05) & (F.col("spread") > 0), "POSITIVE").when((F.col("p") < 0.05) & (F.col("spread") < 0), "INVERTED").when(flat, "NO_EDGE").otherwise("UNDERPOWERED"))
 
 
 def permutation_null(obs: DataFrame, a: str, b: str, y: str = "fwd_21", reps: int = 1000, seed: int = SEED) -> DataFrame:
@@ -140,5 +153,5 @@ def evaluate(obs: DataFrame, eps: DataFrame, best: str = "CONFIRMED_BREAKOUT", w
         "stability": get(one(P.segment_stability(obs, best, worst, y)), "verdict"), "episodes": eps.count(), "dates": obs.select("date").distinct().count(),
     }
     facts["power"] = power_analysis(int(row(best, "n") or 0), int(row(worst, "n") or 0), sd or 0, get(sp, "spread") or 0.0)["power"]
-    facts["red_flags"] = [r["check"] for r in P.red_flags(obs, y).where("raised").collect()]
+    facts["red_flags"] = [r["check"] for r in P.red_flags(obs, eps).where("raised").collect()]
     return facts | verdict(facts) | {"confidence": confidence(facts)}

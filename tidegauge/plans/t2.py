@@ -55,7 +55,7 @@ def xz(x: str) -> str:
 
 FRAME = [
     "lots", "bars_t1", "bars_t2", "bars_all", "bars_bench", _all(RS), RS1,
-    ("a0", f"SELECT *, (rs / nullif({ra('avg', 'rs', 200, 50)}, 0) - 1) * 100 AS mansfield_rs, row_number() OVER (PARTITION BY ticker ORDER BY session) AS n_bars, 100 * ({ra('avg', 'rs', 10, 10)}) / nullif({ra('avg', 'rs', 40, 40)}, 0) AS qq, {lg('close')} AS c1, close / nullif({lg('close', 21)}, 0) - 1 AS ret_21, {zs('ln(1 + volume)', 60, 20)} AS volume_z, coalesce(((close - low) - (high - close)) / nullif(high - low, 0) * volume, 0) AS mf, {ra('avg', 'volume', 50, 20)} AS av, list_reverse_sort(list(volume) {over(25)}) AS l, CASE WHEN row_number() OVER (PARTITION BY ticker ORDER BY session) >= 275 AND {lg('close', 273)} > 0 THEN ({lg('close', 21)} / {lg('close', 273)} - 1) * 100 END AS mom_12_1 FROM rs1"),
+    ("a0", f"SELECT *, (rs / nullif({ra('avg', 'rs', 200, 50)}, 0) - 1) * 100 AS mansfield_rs, row_number() OVER (PARTITION BY ticker ORDER BY session) AS n_bars, 100 * ({ra('avg', 'rs', 10, 10)}) / nullif({ra('avg', 'rs', 40, 40)}, 0) AS qq, {lg('close')} AS c1, close / nullif({lg('close', 21)}, 0) - 1 AS ret_21, {zs('ln(1 + volume)', 60, 20)} AS volume_z, coalesce(((close - low) - (high - close)) / nullif(high - low, 0) * volume, 0) AS mf, {ra('avg', 'volume', 50, 20)} AS av, list_reverse_sort(list(volume) {over(25)}) AS l, CASE WHEN row_number() OVER (PARTITION BY ticker ORDER BY session) >= 275 AND {lg('close', 273)} > 0 THEN ({lg('close', 21)} / {lg('close', 273)} - 1) * 100 END AS mom_12_1, CASE WHEN row_number() OVER (PARTITION BY ticker ORDER BY session) >= 149 AND {lg('close', 147)} > 0 THEN ({lg('close', 21)} / {lg('close', 147)} - 1) * 100 END AS mom_6_1 FROM rs1"),
     ("a1", f"SELECT *, CASE WHEN n_bars >= 60 THEN qq END AS rs_ratio_raw, CASE WHEN n_bars >= 60 THEN 100 * qq / nullif({ra('avg', 'qq', 10, 10)}, 0) END AS rs_mom_raw, ({ra('sum', 'mf', 21, 7)}) / nullif({ra('sum', 'volume', 21, 7)}, 0) AS cmf, CASE WHEN close / c1 - 1 > 0.002 AND volume > av THEN 1.0 ELSE 0 END - CASE WHEN close / c1 - 1 < -0.002 AND volume > av THEN 1.0 ELSE 0 END AS ads, ((close - low) / nullif(high - low, 0) - 0.5) * 2 * CASE WHEN volume_z > 0 THEN volume_z WHEN volume_z IS NOT NULL THEN 0 END / (1 + coalesce(abs(close / c1 - 1) / 0.004, 0)) AS abx, CASE WHEN len(l) >= 12 THEN list_sum(l[1 : greatest(3, len(l) // 8)]) / nullif(list_sum(l), 0) - greatest(3, len(l) // 8)::DOUBLE / len(l) END AS block_intensity FROM a0"),
     ("a2", f"SELECT * EXCLUDE (l), ({ra('sum', 'ads', 25, 8)}) / 25.0 AS ad_balance, {ra('avg', 'abx', 25, 8)} AS absorption, {zs('block_intensity', 120, 30)} AS block_intensity_z, {xz('rs_ratio_raw')} AS rs_ratio, {xz('rs_mom_raw')} AS rs_mom FROM a1"),
     *BREADTH,
