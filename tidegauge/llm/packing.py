@@ -24,10 +24,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, mix, prepare, rows, table
+from .common import SPACE, Words, drop_tables, mix, prepare, rows, table
 
 WINDOW = 2048
 END = 1
@@ -225,6 +225,36 @@ class Tree:
         return -1 - node
 
 
+class Index:
+    """Postings of pieces with BM25 weights. Terms that are in an eighth of the pieces or more lie as dense rows, the others as lists."""
+
+    def __init__(self, pieces: list[np.ndarray], corpus: Corpus):
+        term, doc, score = corpus.postings(pieces)
+        score = score.astype(np.float32)
+        self.n = len(pieces)
+        terms, first, df = np.unique(term, return_index=True, return_counts=True)
+        which = np.repeat(np.arange(len(terms)), df)
+        dense = df * 8 >= max(self.n, 16)
+        self.row = np.where(dense, np.cumsum(dense) - 1, -1)
+        self.rows = np.zeros((int(dense.sum()), self.n), np.float32)
+        often = dense[which]
+        self.rows[self.row[which[often]], doc[often]] = score[often]
+        self.first, self.df, self.doc, self.score = first, df, doc, score
+        by = np.argsort(doc, kind="stable")
+        self.terms, self.begin = which[by], np.searchsorted(doc[by], np.arange(self.n + 1))
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every piece over all distinct tokens of the seed."""
+        own = self.terms[self.begin[seed] : self.begin[seed + 1]]
+        total = self.rows[self.row[own[self.row[own] >= 0]]].sum(0)
+        few = own[(self.row[own] < 0) & (self.df[own] > 1)]  # of a term that it alone has, the seed has no neighbours
+        if len(few):
+            n = self.df[few]
+            at = np.repeat(self.first[few] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            total += np.bincount(self.doc[at], weights=self.score[at], minlength=self.n).astype(np.float32)
+        return total
+
+
 def pack(lengths: np.ndarray, terms: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length). terms: the ids of each document's last piece, which alone is packed with others.
     corpus: what BM25 weighs with, where these are not all documents."""
@@ -233,17 +263,10 @@ def pack(lengths: np.ndarray, terms: list[np.ndarray], window: int = WINDOW, cor
     n = len(rest)
     if not n:
         return out
-    # the inverted index: postings of each term, with the BM25 weight of the term in the piece
-    term, doc, score = (corpus or Corpus.of(terms)).postings(terms)
-    score = score.astype(np.float32)
-    vocabulary, first, df = np.unique(term, return_index=True, return_counts=True)
-    which = np.repeat(np.arange(len(vocabulary)), df)
-    by_doc = np.argsort(doc, kind="stable")  # the terms of each document
-    begin = np.searchsorted(doc[by_doc], np.arange(n + 1))
+    index = Index(terms, corpus or Corpus.of(terms))
     left = rest.copy()
     start = lengths - rest
     seeds, s = np.argsort(-rest, kind="stable"), 0
-    total = np.zeros(n, np.float32)
     biggest = n  # seeds[:s] are used up
     while True:
         while s < biggest and left[seeds[s]] == 0:
@@ -254,11 +277,7 @@ def pack(lengths: np.ndarray, terms: list[np.ndarray], window: int = WINDOW, cor
         sequence, room = [(seed, int(start[seed]), int(left[seed]))], window - int(left[seed])
         left[seed] = 0
         if room:
-            total[:] = 0
-            for k in which[by_doc[begin[seed] : begin[seed + 1]]]:
-                if df[k] > 1:  # else the seed alone has it
-                    a = slice(first[k], first[k] + df[k])
-                    total[doc[a]] += score[a]
+            total = index.scores(seed)
             unused = np.flatnonzero(left)
             ranked = unused
             if len(unused) > NEAREST:  # the best scores; where they leave room, all that is unused follows
@@ -336,32 +355,23 @@ def _tree(ids: DataFrame, shared, window: int) -> Tree:
 
 def _routed(ids: DataFrame, shared, shards: int, window: int) -> DataFrame:
     """ids with their shard: equal stretches of tokens along the leaves, in a leaf by hash."""
-    tree = ids.sparkSession.sparkContext.broadcast(_tree(ids, shared, window))
-
-    def sizes(batches):
-        count = np.zeros(tree.value.leaves, np.int64)
-        for b in batches:
-            if len(b):
-                n, pieces = _pieces(b.column("ids"), window)
-                count += np.bincount(tree.value(shared.value.vectors(pieces)), weights=n, minlength=len(count)).astype(np.int64)
-        at = np.flatnonzero(count)
-        yield rows([("leaf", pa.int64()), ("n", pa.int64())], leaf=at, n=count[at])
-
-    size = np.zeros(tree.value.leaves)
-    for r in ids.select("ids").mapInArrow(sizes, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
-        size[r["leaf"]] = r["n"]
-    begin, most = np.cumsum(size) - size, max(1.0, size.sum())
+    spark = ids.sparkSession
+    tree = spark.sparkContext.broadcast(_tree(ids, shared, window))
 
-    def route(batches):
+    def place(batches):
         for b in batches:
-            shard = []
-            if len(b):
-                leaf = tree.value(shared.value.vectors(_pieces(b.column("ids"), window)[1]))
-                inside = (b.column("spread").to_numpy() & ((1 << 32) - 1)) / (1 << 32)
-                shard = np.minimum((begin[leaf] + inside * size[leaf]) * shards / most, shards - 1).astype(np.int64)
-            yield rows([("shard", pa.int64()), *_IDS[1:]], shard=shard, **{n: b.column(n) for n, _ in _IDS[1:]})
+            n, pieces = _pieces(b.column("ids"), window)
+            leaf = tree.value(shared.value.vectors(pieces)) if len(b) else n
+            yield rows([("leaf", pa.int32()), ("n", pa.int64()), *_IDS], leaf=leaf.astype(np.int32), n=n, **{n_: b.column(n_) for n_, _ in _IDS})
 
-    return ids.mapInArrow(route, "shard long, doc_id long, text_key long, ids binary")
+    placed = table(ids.mapInArrow(place, "leaf int, n long, spread long, doc_id long, text_key long, ids binary"), "packing-leaves")
+    drop_tables(spark, ids)
+    # as many rows as the tree has leaves, which its depth and sample bound
+    size = placed.groupBy("leaf").agg(F.sum("n").alias("tokens"))
+    size = size.select("leaf", "tokens", (F.sum("tokens").over(Window.orderBy("leaf")) - F.col("tokens")).alias("begin"), F.sum("tokens").over(Window.partitionBy(F.lit(1))).alias("all"))
+    inside = F.col("spread").bitwiseAND(F.lit((1 << 32) - 1)) / float(1 << 32)
+    shard = F.least(F.floor((F.col("begin") + inside * F.col("tokens")) * shards / F.col("all")), F.lit(shards - 1)).cast("long")
+    return placed.join(F.broadcast(size), "leaf").select(shard.alias("shard"), "doc_id", "text_key", "ids")
 
 
 def _pack(window: int, corpus=None):
@@ -391,7 +401,8 @@ def _pack(window: int, corpus=None):
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32 bits)."""
     prepare(docs.sparkSession)
-    size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    # each document has END besides its text
+    size = docs.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + TOKEN_BYTES).alias("n")).first()["n"] or 0
     shards = max(1, -(-size // (shard_tokens * TOKEN_BYTES)))
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     d = docs.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), key).alias("spread"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), "text")
