@@ -469,6 +469,30 @@ def test_a_seed_asks_for_all_its_tokens():
     assert {d for s in first if any(x[0] == 0 for x in s) for d, _, _ in s} == {0, 4}
 
 
+def test_scores_against_brute_force_bm25():
+    r = np.random.default_rng(6)
+    pieces = [r.choice(400, r.integers(0, 120), p=np.arange(400, 0, -1) / 80200).astype(np.uint32) for _ in range(70)]
+    pieces[3] = pieces[2].copy()
+    corpus = P.Corpus.of(pieces)
+    index = P.Index(pieces, corpus)
+    df, mean = collections.Counter(t for p in pieces for t in set(p.tolist())), np.mean([len(p) for p in pieces])
+    for seed in range(0, 70, 7):
+        want = []
+        for p in pieces:
+            tf, s = collections.Counter(p.tolist()), 0.0
+            for t in set(pieces[seed].tolist()):
+                if df[t] > 1:
+                    s += np.log1p((70 - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * (P.K1 + 1) / (tf[t] + P.K1 * (1 - P.B + P.B * len(p) / mean))
+            want.append(s)
+        assert index.scores(seed) == pytest.approx(np.array(want), rel=1e-4, abs=1e-4)
+
+
+def test_tiny_texts_are_sharded_too(spark):
+    d = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN '' ELSE 'a' END AS text")
+    got = P.pack_documents(d, window=64, shard_tokens=500)
+    assert got.selectExpr("shiftright(sequence_id, 32) AS s").distinct().count() >= 4 and got.agg(F.sum("length")).first()[0] == 4500
+
+
 def test_close_documents_share_a_shard(spark):
     r = random.Random(8)
     vocabularies = [[f"{chr(97 + k)}{prose(r, 1)}{i}" for i in range(40)] for k in range(4)]
@@ -534,6 +558,34 @@ def test_windows_alone_find_neighbours_that_stand_out(spark):
     assert hits / total >= 0.9
 
 
+def exact_neighbours(ids, x, every, k=10):
+    out = []
+    for i in range(len(x)):
+        if ids[i] % every == 0:
+            d = np.zeros(len(x))
+            for n in range(x.shape[1]):
+                d += (x[:, n] - x[i, n]) ** 2
+            d = np.sqrt(d)
+            o = [j for j in np.lexsort((ids, d)) if j != i][:k]
+            out += [(int(ids[i]), r + 1, int(ids[j]), float(d[j])) for r, j in enumerate(o)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["large", "hot"])
+def test_large_norms_and_a_hot_vector(spark, kind):
+    """Unit noise around 1e7, and a vector that a third of the rows share: as brute force has it, with few rows on the way."""
+    r = np.random.default_rng(12)
+    x = r.normal(size=(1500, 16)) + (1e7 if kind == "large" else 0)
+    if kind == "hot":
+        x[::3] = x[0]
+    v = spark.createDataFrame([(i, x[i].tolist()) for i in range(len(x))], "vec_id long, embedding array<double>")
+    got = sorted((q["query_id"], q["rank"], q["vec_id"], q["score"]) for q in N.search(v, every=50).collect())
+    assert got == exact_neighbours(np.arange(len(x)), x, 50)
+    ids = np.arange(0, 1500, 50)
+    near = list(N._within(ids, x[ids], np.full(len(ids), 1e300), 10)([pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(list(x))], names=["vec_id", "v"])]))
+    assert sum(len(b) for b in near) == 10 * len(ids)
+
+
 def test_hilbert_steps_are_neighbours():
     side = np.array([(i, j, k) for i in range(8) for j in range(8) for k in range(8)])
     key = N.hilbert(side, 3)
