@@ -1,9 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary labelled documents, back off from a bigram to continuation counts, which are the
-number of different contexts (here documents) that an expression stood in, so that one text's repetitions count once. An
-expression whose counts in the two classes differ by no more than chance would make them is too rare to tell the classes apart: it is
-discounted whole and backs off to counts that both classes share, so it weighs the same in both. The others keep their class's own
+Two bigram models, of toxic and of ordinary labelled documents, back off from a bigram to a word's continuation count: the number of
+different words that it stood behind in the class. A bigram's own count is of documents, so that one text's repetitions count once. An
+expression whose counts of documents in the two classes differ by no more than chance would make them is too rare to tell the classes apart:
+it is discounted whole and backs off to counts that both classes share, so it weighs the same in both. The others keep their class's own
 counts, less the usual discount. A text's score comes from the two log-likelihoods, compared per word; a logistic curve over that
 difference, its length-scaled form and its telling words turns it into a probability. The curve is fitted on documents that the counts it
 uses have not seen.
@@ -62,7 +62,7 @@ class KneserNey:
         before, pair = (np.concatenate([g[k] for g in grams]) for k in (0, 1))
         size = np.array([max(1, w.n) for w in words], float)
 
-        def contexts(code, kinds):
+        def documents(code, kinds):
             """Documents of each class that have it."""
             once = np.unique(code.astype(np.int64) * (doc.max(initial=0) + 1) + doc)
             kind, of = once // (doc.max(initial=0) + 1), once % (doc.max(initial=0) + 1)
@@ -75,8 +75,11 @@ class KneserNey:
 
         self.vocabulary, code = np.unique(word, return_inverse=True)
         v = len(self.vocabulary)
-        n = contexts(code, v)
-        own = telling(n)
+        own = telling(documents(code, v))
+        pairs, first, pcode = np.unique(pair, return_index=True, return_inverse=True)
+        m = documents(pcode, len(pairs))
+        # continuation counts: different words that a word stood behind in each class
+        n = np.stack([np.bincount(code[first], weights=m[c] > 0, minlength=v) for c in (0, 1)])
         total = np.maximum(n.sum(1), 1)
         shared = np.append(np.where(own, 0, n.sum(0)), 1.0)  # and one word for all unseen ones
         shared /= shared.sum()
@@ -86,8 +89,6 @@ class KneserNey:
             left = 1 - kept.sum() / total[c]
             # a telling word that this class never had gets what the discount left of one context
             self.unigram[c] = np.append(np.where(own, (kept + (1 - DISCOUNT)) / total[c], 0), 0) + left * shared
-        pairs, first, pcode = np.unique(pair, return_index=True, return_inverse=True)
-        m = contexts(pcode, len(pairs))
         keep = np.flatnonzero(telling(m))
         self.pairs = pairs[keep]
         self.contexts, at = np.unique(before[first[keep]], return_inverse=True)
