@@ -144,14 +144,31 @@ def test_normalise_bars(spark):
 
 
 def test_alerts_query_sees_crossings_and_flow(spark, monkeypatch):
-    from tidegauge.plans import t4
+    from tidegauge.plans import t3, t4
 
     days = [D + timedelta(days=i) for i in range(40)]
     rows = [("A", x, -1.0 if i < 30 else 1.0, None, None, None, None, None, None, "NEUTRAL", "Leading") for i, x in enumerate(days)]
     bars = spark.createDataFrame(rows, "ticker string, session date, mansfield_rs double, volume_z double, block_intensity_z double, csri_delta double, absorption double, ret_21 double, sma_50 double, phase string, quadrant string")
     trades = spark.createDataFrame([("A", x, 0.1 if i < 35 else 0.5, 0.1 if i < 35 else 0.5, 0.5, 3e7, 10.0) for i, x in enumerate(days)], "ticker string, day date, dark_share double, off_share double, block_direction double, largest_notional double, largest_print double")
     monkeypatch.setattr(t4, "score_frame", lambda s, d: bars)
-    monkeypatch.setattr(t4, "daily", lambda s, d: trades, raising=False)
+    monkeypatch.setattr(t3, "daily", lambda s, d: trades)
     monkeypatch.setattr(t4.I, "stages", lambda f: f.withColumn("stage", F.lit(1)))
     fired = {r["value"]: r["session"] for r in t4.alerts(spark, None).collect()}
     assert fired == {"mansfield_cross": days[30], "dark_pool": days[35], "off_exchange": days[35], "block_direction": days[2], "large_print": days[2]}
+
+
+def test_all_kinds_of_flags_fire(spark):
+    from tidegauge.operators import cross_section as X
+
+    row = {"cross_up": True, "volume_z": 2.0, "block_intensity_z": 2.0, "csri_delta": 0.75, "absorption": 0.3, "ret_21": 0.02, "dark_trend": -0.02, "off_trend": 0.03, "block_direction": -0.2, "largest_notional": 25e6, "stage": 4}
+    kinds = {"cross_up": "boolean", "stage": "int"}
+    f = spark.createDataFrame([tuple(row.values()), tuple((row | {"csri_delta": -0.75}).values()), (False, *[None] * 9, 2)], ", ".join(f"{n} {kinds.get(n, 'double')}" for n in row))
+    a, b, c = ([*r["k"]] for r in f.select(X.flags().alias("k")).collect())
+    assert sorted({*a, *b}) == sorted(["mansfield_cross", "unusual_volume", "block_activity", "csri_surge", "csri_slump", "absorption", "dark_pool", "off_exchange", "block_direction", "large_print", "stage4"]) and c == []
+
+
+def test_block_tags_go_by_dollars_and_counts(spark):
+    names = "block_share_latest double, block_share_mean double, block_count_latest double, block_count_mean double, block_direction double, largest_notional double, adv double"
+    rows = [(0.3, 0.3, 5.0, 5.0, 0.0, 1e6, 1e9), (0.1, 0.1, 10.0, 5.0, 0.0, 1e6, 1e9), (0.1, 0.1, 5.0, 5.0, 0.0, 5e7, 1e9), (0.16, 0.16, 5.0, 5.0, 0.4, 1e6, 1e8), (0.16, 0.16, 5.0, 5.0, 0.4, 1e6, 3e8)]
+    got = [r["buckets"] for r in FL.block_buckets(spark.createDataFrame(rows, names)).collect()]
+    assert got == [["Safe Bets"], ["Most Unusual"], ["Top Positions"], ["Longshots"], []]

@@ -137,3 +137,47 @@ def test_short_interest_waits_for_publication(spark):
     as_of = spark.createDataFrame([("A", d + timedelta(days=k)) for k in (13, 14, 28, 29)], "ticker string, as_of date")
     got = {r["as_of"]: r["days_to_cover"] for r in I.short_interest_metrics(s, as_of).collect()}
     assert got == {d + timedelta(days=14): 10.0, d + timedelta(days=28): 10.0, d + timedelta(days=29): 20.0}
+
+
+def shaped(spark, closes, opens=None, volume=None, ticker="A"):
+    """Bars a tenth wide around open and close."""
+    opens = opens or [closes[0], *closes[:-1]]
+    rows = [(ticker, date(2020, 1, 1) + timedelta(days=i), float(o), float(max(o, c) + 0.05), float(min(o, c) - 0.05), float(c), float((volume or {}).get(i, 1000))) for i, (o, c) in enumerate(zip(opens, closes, strict=True))]
+    return spark.createDataFrame(rows, "ticker string, session date, open double, high double, low double, close double, volume double")
+
+
+def found(bars):
+    return {r["setup"]: (r["direction"], r["confirmed"]) for r in I.setups(bars).collect()}
+
+
+def test_setups(spark):
+    """Each kind on the last bars of 80; the same bars without its volume, or on 59 bars, show none."""
+    rising = [100 + i / 10 for i in range(79)]
+    bounce = [*rising, 106.0]
+    opens = [100.0, *rising[:-1], 105.4]
+    assert "ma_bounce" in found(shaped(spark, bounce, opens, {79: 3000})) and "ma_bounce" not in found(shaped(spark, bounce, opens))
+    flat = [100 - i / 1000 for i in range(78)]
+    assert found(shaped(spark, [*flat, 103.0, 103.5]))["breakout"] == ("long", True)
+    assert found(shaped(spark, [*flat, 103.0, 102.0]))["breakout"] == ("long", False)
+    assert found(shaped(spark, [*flat, 99.9, 103.0]))["breakout"] == ("long", None)
+    down = [*rising, 95.0]
+    assert found(shaped(spark, down, None, {79: 3000}))["breakdown"] == ("exit/short", None) and "breakdown" not in found(shaped(spark, down))
+    turn = [*flat[:77], 99.0, 100.5, 101.0]
+    assert found(shaped(spark, turn, [100.0, *flat[:76], 100.0, 99.0, 100.4], {79: 3000}))["reversal"] == ("long", None)
+    assert found(shaped(spark, down[-59:], None, {58: 3000})) == {}
+
+
+def test_crossings_in_both_directions(spark):
+    b = shaped(spark, [*[100 - i / 100 for i in range(40)], 105.0, 105.0, 90.0, 105.0], None, {40: 5000})
+    got = [(r["direction"], r["volume_confirmed"], r["confirmed"]) for r in I.sma_breakouts(b, (20,)).orderBy("session").collect()]
+    assert got == [("up", True, True), ("down", False, False), ("up", False, None)]
+
+
+def test_breadth_counts_bars_so_far(spark):
+    """Eight names from different days on: no reading before the eighth has 55 bars, and later bars change nothing."""
+    rows = [("P", f"T{j}", date(2020, 1, 1) + timedelta(days=i), 100.0 + i * (1 if j < 6 else -1)) for j in range(8) for i in range(5 * j, 120)]
+    c = spark.createDataFrame(rows, "parent string, ticker string, session date, close double")
+    whole = {r["session"]: (r["breadth"], r["n_names"]) for r in I.breadth(c).collect()}
+    assert min(whole) == date(2020, 1, 1) + timedelta(days=35 + 54) and set(whole.values()) == {(75.0, 8)}
+    cut = date(2020, 4, 10)
+    assert {r["session"]: (r["breadth"], r["n_names"]) for r in I.breadth(c.where(F.col("session") <= F.lit(cut))).collect()} == {k: v for k, v in whole.items() if k <= cut}
