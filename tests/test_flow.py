@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.operators import flow as FL
+from tidegauge.operators import indicators as I
 from tidegauge.operators import quality as Q
 from tidegauge.streaming import alerts as A
 from tidegauge.streaming import flow as SF
@@ -172,3 +173,55 @@ def test_block_tags_go_by_dollars_and_counts(spark):
     rows = [(0.3, 0.3, 5.0, 5.0, 0.0, 1e6, 1e9), (0.1, 0.1, 10.0, 5.0, 0.0, 1e6, 1e9), (0.1, 0.1, 5.0, 5.0, 0.0, 5e7, 1e9), (0.16, 0.16, 5.0, 5.0, 0.4, 1e6, 1e8), (0.16, 0.16, 5.0, 5.0, 0.4, 1e6, 3e8)]
     got = [r["buckets"] for r in FL.block_buckets(spark.createDataFrame(rows, names)).collect()]
     assert got == [["Safe Bets"], ["Most Unusual"], ["Top Positions"], ["Longshots"], []]
+
+
+def test_history_and_aggregate_payloads(spark):
+    array = '[{"date":"2024-01-02","open":1,"high":2,"low":1,"close":"1.5","volume":null},{"date":"2024-01-02","open":1,"high":2,"low":1,"close":1.75,"volume":7},{"open":3,"close":3}]'
+    rows = [("a", array), ("b", '{"historical":[{"date":"2024-01-03","close":2.5}],"symbol":"B"}'), ("c", "not json"), ("d", None), ("e", "[]"), ("f", '{"historical":[{"date":"2024-01-03","close":"x"}]}')]
+    got = Q.normalise_bars(Q.history_records(spark.createDataFrame(rows, "ticker string, value string"))).select("ticker", F.col("session").cast("string"), "open", "close", "volume")
+    assert sorted(map(tuple, got.collect())) == [("a", "2024-01-02", 1.0, 1.75, 7.0), ("b", "2024-01-03", None, 2.5, 0.0)]
+    rows = [("a", '{"results":[{"t":1704153600000,"o":1,"h":2,"l":1,"c":1.5,"v":9},{"t":1704239999999,"o":1,"h":2,"l":1,"c":1.25,"v":8}]}'), ("b", '{"status":"ERROR"}'), ("c", None)]
+    got = Q.normalise_bars(Q.aggregate_records(spark.createDataFrame(rows, "ticker string, value string"))).select("ticker", F.col("session").cast("string"), "close", "volume")
+    assert sorted(map(tuple, got.collect())) == [("a", "2024-01-02", 1.25, 8.0)]
+
+
+def test_usable_providers():
+    order, free = ["paid", "other", "free"], {"free"}
+    assert Q.usable_providers(order, free, {"paid": "", "other": "k"}) == ["other", "free"]
+    assert Q.usable_providers(order, free, {}, "free") == ["free"]
+    with pytest.raises(ValueError):
+        Q.usable_providers(order, free, {}, "paid")
+
+
+def test_still_to_fetch_goes_on_where_it_stopped(spark):
+    bars = spark.createDataFrame([("a", f"2024-01-{k:02d}") for k in range(1, 11)], "ticker string, session string").withColumn("session", F.col("session").cast("date"))
+    today, done = F.lit("2024-01-10").cast("date"), bars.limit(0)
+    days = lambda df: sorted(x["session"].day for x in df.collect())
+    assert days(Q.still_to_fetch(bars, done, today, 3)) == [7, 8, 9] and days(Q.still_to_fetch(bars, done, today, 3, 2)) == [5, 6, 7]
+    assert days(Q.still_to_fetch(bars, bars.where("session = date '2024-01-08'"), today, 3)) == [7, 9]
+
+
+def test_venues_of_off_exchange_trades(spark):
+    trades = spark.createDataFrame([("a", 1, 4, 10.0, 1.0), ("a", 1, 11, 5.0, 1.0), ("a", 1, 62, 3.0, 1.0), ("a", 1, 62, 0.0, 1.0)], "ticker string, day int, exchange int, size double, price double")
+    off = lambda rows: FL.off_exchange_volume(trades, spark.createDataFrame(rows, "id long, type string")).first()["off_volume"]
+    assert off([(62, "trf"), (4, "TRF"), (11, "exchange"), (None, "TRF"), (62, "TRF")]) == 13.0
+    assert off([(11, "exchange")]) == off([]) == 10.0
+
+
+def test_sign_run(spark):
+    nan = float("nan")
+    rows = [("up", k, x) for k, x in enumerate([1.0, -1.0, 0.0, None, 2.0, nan])] + [("down", k, x) for k, x in enumerate([-1.0, -2.0])] + [("none", 0, nan)]
+    got = I.sign_run(spark.createDataFrame(rows, "ticker string, session int, x double"), "x")
+    assert sorted(map(tuple, got.collect())) == [("down", False, 2), ("up", True, 2)]
+
+
+def test_write_once_fails_on_what_it_cannot_read(spark, tmp_path):
+    """A table that is there but can't be read must not count as none."""
+    out = tmp_path / "out"
+    out.mkdir()
+    (out / "part-0.parquet").write_bytes(b"no parquet")
+    source = tmp_path / "in"
+    spark.createDataFrame([("a", 1)], "ticker string, day int").write.parquet(str(source))
+    stream = spark.readStream.schema("ticker string, day int").parquet(str(source))
+    with pytest.raises(Exception, match="(?i)parquet"):
+        SF.write_once(stream, str(out), str(tmp_path / "c")).awaitTermination(120)

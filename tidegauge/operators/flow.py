@@ -117,3 +117,20 @@ def liquidity(trends: DataFrame, weights: dict[str, tuple[float, int]]) -> DataF
     t = trends.withColumns({"_w": case(0), "_d": case(1)}).where("_w is not null and z is not null")
     g = t.agg((F.sum(F.col("_w") * F.col("_d") * F.col("z")) / F.sum("_w")).alias("impulse"), F.count("*").alias("n_series"))
     return g.withColumn("regime", F.when(F.col("impulse") > 0.5, "EXPANDING").when(F.col("impulse") > -0.5, "NEUTRAL").when(F.col("impulse").isNotNull(), "DRAINING"))
+
+
+def off_exchange_venues(venues: DataFrame, fallback: int = 4) -> DataFrame:
+    """exchange: ids of venues (id, type) of type TRF, whatever the case; the fallback where there is none."""
+    ids = venues.where("upper(type) = 'TRF' and id is not null").agg(F.collect_set(F.col("id").cast("int")).alias("ids"))
+    return ids.select(F.explode(F.when(F.size("ids") > 0, F.col("ids")).otherwise(F.array(F.lit(fallback)))).alias("exchange"))
+
+
+def off_exchange_volume(trades: DataFrame, venues: DataFrame) -> DataFrame:
+    """ticker, day, volume, off_volume by a table of venues."""
+    t = trades.where("size > 0 and price > 0").join(off_exchange_venues(venues).withColumn("_off", F.lit(True)), "exchange", "left")
+    return t.groupBy("ticker", "day").agg(F.sum("size").alias("volume"), F.sum(F.when(F.col("_off"), F.col("size")).otherwise(0.0)).alias("off_volume"))
+
+
+def curve_note(spread: str = "value"):
+    """What a yield curve's last spread says."""
+    return F.when(F.col(spread) < 0, "inverted").when(F.col(spread) > 0.5, "steepening").when(F.col(spread).isNotNull(), "flat")

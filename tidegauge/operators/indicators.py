@@ -308,3 +308,11 @@ def z_last(frame: DataFrame, values: dict[str, str], n: int = 252, least: int =
 
 
 __all__ = [n for n in dir() if n[0] != "_"] + ["roll"]
+
+
+def sign_run(b: DataFrame, x: str) -> DataFrame:
+    """ticker, positive, sessions: for how many of its last sessions x, where it is a number, has kept the sign it has now; zero counts as positive."""
+    newest_first = Window.partitionBy("ticker").orderBy(F.desc("session"))
+    v = b.where(F.col(x).isNotNull() & ~F.isnan(x)).select("ticker", "session", (F.col(x) >= 0).alias("positive"))
+    v = v.withColumn("_now", F.first("positive").over(newest_first)).withColumn("_over", F.max(F.col("positive") != F.col("_now")).over(newest_first))
+    return v.where("not _over").groupBy("ticker").agg(F.first("positive").alias("positive"), F.count("*").alias("sessions"))

@@ -25,6 +25,40 @@ def adjusted(raw: DataFrame) -> DataFrame:
     return b.select("ticker", "session", (F.col("o") * k).alias("open"), (F.col("h") * k).alias("high"), (F.col("l") * k).alias("low"), (F.col("c") * k).alias("close"), F.col("v").alias("volume"))
 
 
+def history_records(payloads: DataFrame) -> DataFrame:
+    """Raw bars (ticker, session, open to volume as text, seq) from JSON in a column value, an array of records or an object whose
+    "historical" holds it. Records without a date, and other payloads, give no rows; normalise_bars takes these."""
+    record = "array<struct<date string, open string, high string, low string, close string, volume string>>"
+    both = F.coalesce(F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", record)), F.from_json("value", f"historical {record}")["historical"])
+    e = payloads.select("ticker", F.posexplode(both).alias("seq", "r"))
+    return e.select("ticker", F.expr("try_cast(substr(r.date, 1, 10) AS date)").alias("session"), *[F.col(f"r.{c}").alias(c) for c in ("open", "high", "low", "close", "volume")], "seq").where("session is not null")
+
+
+def aggregate_records(payloads: DataFrame) -> DataFrame:
+    """The same from payloads {"results": [{t, o, h, l, c, v}]}, t in milliseconds of UTC."""
+    e = payloads.select("ticker", F.posexplode(F.from_json("value", "results array<struct<t bigint, o string, h string, l string, c string, v string>>")["results"]).alias("seq", "r"))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("r.t") / 86_400_000).cast("int"))
+    return e.select("ticker", day.alias("session"), *[F.col(f"r.{c[0]}").alias(c) for c in ("open", "high", "low", "close", "volume")], "seq").where("session is not null")
+
+
+def usable_providers(order: list[str], keyless: set[str], keys: dict[str, str], required: str | None = None) -> list[str]:
+    """Providers in order of preference that need no key or have one; a required one stands alone, and its missing key is an error."""
+    have = lambda p: p in keyless or bool(keys.get(p))
+    if required:
+        if not have(required):
+            raise ValueError(f"provider {required} is required, but has no key")
+        return [required]
+    return [p for p in order if have(p)]
+
+
+def still_to_fetch(bars: DataFrame, done: DataFrame, today, last: int, skip: int = 0) -> DataFrame:
+    """ticker, session: of each ticker's sessions before today, the last ones but for the newest skip, without those that are done. What is
+    stopped half way goes on from there."""
+    n = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("session")))
+    w = bars.where(F.col("session") < today).select("ticker", "session", n.alias("_n")).where((F.col("_n") > skip) & (F.col("_n") <= skip + last)).drop("_n")
+    return w.join(done.select("ticker", "session"), ["ticker", "session"], "left_anti")
+
+
 def pick_source(cached: DataFrame, priority: dict[str, int], least_fetched: int = 100, least_cached: int = 250) -> DataFrame:
     """Of a ticker's candidate sources (ticker, provider, fetched boolean, rows), the first by priority that has enough rows; else the longest that there is."""
     order = F.coalesce(*[F.when(F.col("provider") == p, k) for p, k in priority.items()], F.lit(len(priority)))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rolling import average_rank, tidy
+from ..functions.rolling import average_rank, lag, ratio, tidy
 from ..operators import flow as FL
+from ..operators import indicators as I
 from ..operators import quality as Q
 from ..sources import views as V
 from ..sources.views import with_sql
@@ -234,3 +235,47 @@ def macro_json(s, d):
     return Q.parse_macro_json(o.groupBy("o_custkey").agg(text.alias("value")), "S").withColumn("value", tidy("value", 2))
 
 
+_RECORDS = "WITH r AS (SELECT o_custkey AS ticker, o_orderdate::DATE AS session, o_totalprice AS p, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS close, CASE WHEN o_orderpriority <> '2-HIGH' THEN o_orderkey END AS volume, row_number() OVER (PARTITION BY o_custkey, o_orderdate::DATE ORDER BY o_orderkey DESC) AS n FROM orders) SELECT ticker, session, p AS open, p AS high, p AS low, close, coalesce(volume, 0)::DOUBLE AS volume FROM r WHERE n = 1 AND close IS NOT NULL"
+
+
+def _payloads(s, d, names, day):
+    o = V.read(s, d, "orders")
+    price, close, volume = F.col("o_totalprice"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")), F.when(F.col("o_orderpriority") != "2-HIGH", F.col("o_orderkey"))
+    record = F.struct("o_orderkey", *[c.alias(n) for n, c in zip(names, (day, price, price, price, close, volume), strict=True)])
+    return o.groupBy(F.col("o_custkey").alias("ticker")).agg(F.sort_array(F.collect_list(record)).alias("a"))
+
+
+@register("history_json", _RECORDS)
+def history_json(s, d):
+    p = _payloads(s, d, ("date", "open", "high", "low", "close", "volume"), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    value = F.when(F.col("ticker") % 2 == 0, F.to_json("a")).otherwise(F.to_json(F.struct(F.col("a").alias("historical"))))
+    return Q.normalise_bars(Q.history_records(p.select("ticker", value.alias("value"))))
+
+
+@register("aggregates_json", _RECORDS)
+def aggregates_json(s, d):
+    p = _payloads(s, d, ("t", "o", "h", "l", "c", "v"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86_400_000)
+    return Q.normalise_bars(Q.aggregate_records(p.select("ticker", F.to_json(F.struct(F.col("a").alias("results"))).alias("value"))))
+
+
+@register("still_to_fetch", with_sql("lots", "bars_t1", ("w", "SELECT ticker, session, row_number() OVER (PARTITION BY ticker ORDER BY session DESC) AS n FROM bars_t1 WHERE session < DATE '1997-01-01'")) + " SELECT ticker, session FROM w WHERE n > 63 AND n <= 189 AND NOT EXISTS (SELECT 1 FROM bars_t1 b WHERE b.ticker = w.ticker AND b.session = w.session AND b.volume > 30)")
+def still_to_fetch(s, d):
+    b = V.bars_t1(s, d)
+    return Q.still_to_fetch(b, b.where("volume > 30"), F.lit("1997-01-01").cast("date"), 126, 63)
+
+
+@register("off_exchange_venues", with_sql("trades") + " SELECT ticker, day, sum(size) AS volume, sum(CASE WHEN exchange IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1 OR n_nationkey = 11) THEN size ELSE 0 END) AS off_volume FROM trades WHERE size > 0 AND price > 0 GROUP BY ALL")
+def off_exchange_venues(s, d):
+    n = V.read(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.when((F.col("n_regionkey") == 1) | (F.col("n_nationkey") == 11), "trf").otherwise("exchange").alias("type"))
+    return FL.off_exchange_volume(V.trades(s, d), n)
+
+
+@register("sign_run", with_sql("lots", "bars_t1", ("x", "SELECT ticker, session, close / nullif(lag(close, 21) OVER (PARTITION BY ticker ORDER BY session), 0) - 1 AS r FROM bars_t1"), ("y", "SELECT ticker, session, r >= 0 AS positive FROM x WHERE r IS NOT NULL"), ("z", "SELECT ticker, arg_max(positive, session) AS positive FROM y GROUP BY ticker")) + " SELECT z.ticker, z.positive, count(*) AS sessions FROM z JOIN y USING (ticker) WHERE NOT EXISTS (SELECT 1 FROM y o WHERE o.ticker = z.ticker AND o.positive <> z.positive AND o.session >= y.session) GROUP BY ALL")
+def sign_run(s, d):
+    return I.sign_run(V.bars_t1(s, d).withColumn("r", ratio("close", lag("close", 21)) - 1), "r")
+
+
+@register("curve_note", with_sql("macro", ("l", "SELECT series_id, arg_max(value, obs_date) / 1e5 - 50 AS value FROM macro GROUP BY ALL")) + f" SELECT series_id, {rd('value', 'value')}, CASE WHEN value < 0 THEN 'inverted' WHEN value > 0.5 THEN 'steepening' ELSE 'flat' END AS note FROM l")
+def curve_note(s, d):
+    m = V.macro(s, d).groupBy("series_id").agg((F.max_by("value", "obs_date") / 1e5 - 50).alias("value"))
+    return _show(m.withColumn("note", FL.curve_note()), "value", keep=("series_id", "note"))

@@ -49,10 +49,9 @@ def write_once(stream: DataFrame, path: str, checkpoint: str, keys: tuple[str, .
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates(list(keys))
-        try:
-            have = spark.read.parquet(path).select(*keys)
-        except Exception:  # no table yet
-            have = None
-        (new.join(have, list(keys), "left_anti") if have is not None else new).write.mode("append").parquet(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):  # any error of reading ends the batch, so nothing is written twice
+            new = new.join(spark.read.schema(batch.schema).parquet(path).select(*keys), list(keys), "left_anti")
+        new.write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
