@@ -180,6 +180,30 @@ def test_weights_and_evaluation(spark):
     assert (v["spread_verdict"], v["verdict"], v["dates"]) == ("POSITIVE", "UNDERPOWERED", 60) and not v["kills"]
 
 
+def test_shuffles_of_phases_need_no_join(spark):
+    """A join of all replicates with each other is planned by the panel's size, and so broadcast through the driver."""
+    o = panel(spark, 20, 6)
+    df = R.permutation_null(o, PHASES[0], PHASES[1], reps=50)
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    y = {p: [r["fwd_21"] for r in o.where(F.col("phase") == p).collect()] for p in PHASES}
+    got = df.first()
+    assert got["spread"] == pytest.approx(np.mean(y[PHASES[0]]) - np.mean(y[PHASES[1]])) and 0 < got["p"] <= 1
+    shifted = R.permutation_null(panel(spark, 20, 6, shift=3.0), PHASES[0], PHASES[1], reps=50).first()
+    assert shifted["spread"] == pytest.approx(got["spread"] + 3) and shifted["p"] == 0
+
+
+@pytest.mark.parametrize("missing", [PHASES[0], PHASES[1]])
+def test_evaluation_without_one_of_the_phases(spark, missing):
+    o = panel(spark, 12, 6).where(F.col("phase") != missing).withColumn("mom_12_1", F.col("z_b"))
+    v = R.evaluate(o, P.episodes(o))
+    assert (v["spread_verdict"], v["verdict"], v["permutation_p"], v["cohen_d"], v["power"]) == ("UNDERPOWERED", "UNDERPOWERED", None, None, None)
+
+
+def test_resampling_of_nothing(spark):
+    e = P.episodes(panel(spark, 12, 6)).where("false")
+    assert tuple(R.spread_test(e, PHASES[0], PHASES[1], reps=20).first()) == (0, 0, None, None, None, None, "UNDERPOWERED")
+
+
 def test_resampling_queries_run_the_full_number(monkeypatch):
     import inspect
     from unittest.mock import MagicMock

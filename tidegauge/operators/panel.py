@@ -318,10 +318,10 @@ def two_groups(x: DataFrame, group: str, a: str, b: str, value: str = "x", *keys
     g = f.groupBy(*keys).agg(F.sum(flag(ina)).alias("na"), F.sum(flag(inb)).alias("nb"), F.avg(F.when(ina, v)).alias("ma"), F.avg(F.when(inb, v)).alias("mb"), F.var_samp(F.when(ina, v)).alias("va"), F.var_samp(F.when(inb, v)).alias("vb"), F.sum(F.when(ina, F.col("_r"))).alias("ra"))
     g = g.join(ties, list(keys)) if keys else g.crossJoin(F.broadcast(ties))
     na, nb, n = F.col("na"), F.col("nb"), F.col("na") + F.col("nb")
-    pooled = F.sqrt(((na - 1) * F.col("va") + (nb - 1) * F.col("vb")) / (n - 2))
+    pooled = F.sqrt(((na - 1) * F.col("va") + (nb - 1) * F.col("vb")) / F.nullif(n - 2, F.lit(0.0)))
     g = g.withColumn("cohen_d", (F.col("ma") - F.col("mb")) / F.nullif(pooled, F.lit(0.0))).withColumn("hedges_g", F.col("cohen_d") * (1 - 3 / (4 * n - 9)))
-    g = g.withColumn("u", F.col("ra") - na * (na + 1) / 2).withColumn("auc", F.col("u") / (na * nb))
-    var = na * nb / 12 * ((n + 1) - F.col("tie_sum") / (n * (n - 1)))
+    g = g.withColumn("u", F.col("ra") - na * (na + 1) / 2).withColumn("auc", F.col("u") / F.nullif(na * nb, F.lit(0.0)))
+    var = na * nb / 12 * ((n + 1) - F.col("tie_sum") / F.nullif(n * (n - 1), F.lit(0.0)))
     d = F.abs("cohen_d")
     g = g.withColumn("z", (F.col("u") - na * nb / 2) / F.nullif(F.sqrt(var), F.lit(0.0)))
     return g.withColumn("magnitude", F.when(d < 0.2, "negligible").when(d < 0.5, "small").when(d < 0.8, "medium").otherwise("large")).select(*keys, "na", "nb", "ma", "mb", "cohen_d", "hedges_g", "u", "auc", "z", "magnitude")

@@ -23,13 +23,14 @@ def _values(x: DataFrame, keys: tuple[str, ...], value: str, order: tuple[str, .
 
 
 def _block_means(g: DataFrame, block: int, reps: int, seed: int, v: str = "v", out: str = "m") -> DataFrame:
-    """g with a row for each replicate and the mean of a circular block resample of the array v."""
+    """g with a row for each replicate and the mean of a circular block resample of the array v (null if it is empty)."""
     n = F.size(v)
-    starts = F.transform(F.sequence(F.lit(0), F.ceil(n / F.lit(block)).cast("int") - 1), lambda b: F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), F.lit(v), b), n).cast("int"))
-    picked = F.slice(F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda i: F.get(v, F.pmod(s + i, n).cast("int"))))), F.lit(1), n)
+    some = F.nullif(n, F.lit(0))
+    starts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / F.lit(block)).cast("int"), F.lit(1)) - 1), lambda b: F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), F.lit(v), b), some).cast("int"))
+    picked = F.slice(F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda i: F.get(v, F.pmod(s + i, some).cast("int"))))), F.lit(1), n)
     if "rep" not in g.columns:
         g = g.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    return g.withColumn(out, F.aggregate(picked, F.lit(0.0), lambda s, x: s + x) / n)
+    return g.withColumn(out, F.aggregate(picked, F.lit(0.0), lambda s, x: s + x) / some)
 
 
 def block_for(horizon: int, step: int) -> int:
@@ -39,8 +40,9 @@ def block_for(horizon: int, step: int) -> int:
 
 def _share_beyond(m: str, observed: Column) -> Column:
     """Of an array of replicates, centred on their own mean: the share at least as far from 0 as what was observed."""
-    middle = F.aggregate(m, F.lit(0.0), lambda s, x: s + x) / F.size(m)
-    return F.size(F.filter(F.transform(m, lambda x: x - middle), lambda x: F.abs(x) >= F.abs(observed))) / F.size(m)
+    n = F.nullif(F.size(m), F.lit(0))
+    middle = F.aggregate(m, F.lit(0.0), lambda s, x: s + x) / n
+    return F.size(F.filter(F.transform(m, lambda x: x - middle), lambda x: F.abs(x) >= F.abs(observed))) / n
 
 
 def bootstrap_mean(x: DataFrame, *keys: str, value: str = "x", order: tuple[str, ...] = ("date",), block: int = 8, reps: int = 5000, seed: int = SEED, least: int = 8) -> DataFrame:
@@ -66,14 +68,17 @@ def spread_test(eps: DataFrame, a: str, b: str, y: str = "fwd_21", block: int |
 
 def permutation_null(obs: DataFrame, a: str, b: str, y: str = "fwd_21", reps: int = 1000, seed: int = SEED) -> DataFrame:
     """The spread of phase a over b against phases shuffled within each date: spread, and the share of shuffles at least as large."""
-    o = obs.where(F.col(y).isNotNull()).select("date", "ticker", "phase", F.col(y).alias("y"))
-    o = o.withColumn("_i", F.row_number().over(Window.partitionBy("date").orderBy("ticker")))
-    reps_ = o.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
-    order = F.when(F.col("rep") == 0, F.col("_i")).otherwise(F.xxhash64(F.lit(seed), "rep", "date", "ticker"))
-    values = reps_.select("rep", "date", "_i", "y")
-    labels = reps_.withColumn("_i", F.row_number().over(Window.partitionBy("rep", "date").orderBy(order, "ticker"))).select("rep", "date", "_i", "phase")
-    s = values.join(labels, ["rep", "date", "_i"]).groupBy("rep").agg((F.avg(F.when(F.col("phase") == a, F.col("y"))) - F.avg(F.when(F.col("phase") == b, F.col("y")))).alias("s"))
-    return s.agg(F.max(F.when(F.col("rep") == 0, F.col("s"))).alias("spread"), F.collect_list(F.when(F.col("rep") > 0, F.col("s"))).alias("_n")).select("spread", (F.size(F.filter("_n", lambda x: F.abs(x) >= F.abs("spread"))) / F.size("_n")).alias("p"))
+    # a date's names are one array and its replicates rows beside it; only sums by replicate leave a task. Dealt out before there are that many rows, as Spark goes by today's size
+    o = obs.where(F.col(y).isNotNull()).select("date", "ticker", "phase", F.col(y).alias("y")).repartition(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "date")
+    o = o.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("ticker", "phase", "y"))).alias("v")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
+    order = lambda t: F.when(F.col("rep") > 0, F.xxhash64(F.lit(seed), F.col("rep"), F.col("date"), t))
+    shuffled = F.array_sort(F.transform("v", lambda r: F.struct(order(r["ticker"]).alias("o"), r["ticker"].alias("t"), r["phase"].alias("p"))))
+    o = o.select("rep", F.zip_with("v", shuffled, lambda r, l: F.struct(l["p"].alias("p"), r["y"].alias("y"))).alias("v"))
+    ys = lambda phase: F.transform(F.filter("v", lambda r: r["p"] == phase), lambda r: r["y"])
+    o = o.select("rep", ys(a).alias("a"), ys(b).alias("b"))
+    mean = lambda v: F.sum(F.aggregate(v, F.lit(0.0), lambda s, x: s + x)) / F.nullif(F.sum(F.size(v)), F.lit(0))
+    s = o.groupBy("rep").agg((mean("a") - mean("b")).alias("s"))
+    return s.agg(F.max(F.when(F.col("rep") == 0, F.col("s"))).alias("spread"), F.collect_list(F.when(F.col("rep") > 0, F.col("s"))).alias("_n")).select("spread", (F.size(F.filter("_n", lambda x: F.abs(x) >= F.abs("spread"))) / F.nullif(F.size("_n"), F.lit(0))).alias("p"))
 
 
 def fit_weights(obs: DataFrame, columns: tuple[str, ...], y: str = "fwd_21", draws: int = 4000, seed: int = SEED) -> DataFrame:
