@@ -387,10 +387,10 @@ def power_analysis(s, d):
 def evaluate(s, d):
     """The verdict over the whole panel, one row: what the tests found, the checks passed, and what speaks against it."""
     kept = table(obs(s, d), "panel")
-    v = R.evaluate(kept, P.episodes(kept))
+    v = R.evaluate(kept, table(P.episodes(kept), "episodes"))
     names = ("verdict", "confidence", "passed", "failed", "spread_verdict", "permutation_p", "rho", "csri_ic", "momentum_ic", "cohen_d", "power", "stability", "net_mean", "episodes", "dates")
-    row = Row(**{n: v.get(n) for n in names}, kills=", ".join(v["kills"]), underpowered=", ".join(v["underpowered"]), red_flags=", ".join(v["red_flags"]))
-    kinds = "verdict string, confidence string, passed int, failed int, spread_verdict string, permutation_p double, rho double, csri_ic double, momentum_ic double, cohen_d double, power double, stability string, net_mean double, episodes long, dates long, kills string, underpowered string, red_flags string"
+    row = Row(**{n: v.get(n) for n in names}, kills=", ".join(v["kills"]), underpowered=", ".join(v["underpowered"]), **{n: ", ".join(v[n]) for n in ("red_flags", "signals", "blocking", "caveats")})
+    kinds = "verdict string, confidence string, passed int, failed int, spread_verdict string, permutation_p double, rho double, csri_ic double, momentum_ic double, cohen_d double, power double, stability string, net_mean double, episodes long, dates long, kills string, underpowered string, red_flags string, signals string, blocking string, caveats string"
     return s.createDataFrame([row], kinds)
 
 
